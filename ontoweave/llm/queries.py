@@ -4,19 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import pack
+from .simhash import simhash_classes
 from .substring_dedup import substring_dedup
+from .token_files import read_token_shards, write_token_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_substring_dedup(spark, sf_dir):
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark, sf_dir):
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_token_files(spark, sf_dir):
+    return read_token_shards(write_token_shards(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op9_simhash(spark, sf_dir):
+    return simhash_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_packing": op4_packing,
+    "op5_token_files": op5_token_files,
+    "op9_simhash": op9_simhash,
 }
 
 SQL: dict[str, str] = {}
