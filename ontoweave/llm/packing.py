@@ -6,9 +6,14 @@ sequence), whose columns are priced by a knapsack dynamic program.  Rounded-down
 length; the few left over are packed best fit first.  Only the histogram reaches the driver, and the tasks get the pattern
 table, which the number of lengths bounds.
 
-Every piece is a whole rest or a full sequence, so its ids are hashed in the one pass that encodes the text.  Ranks within
-a length are ranks within an input partition plus the counts of the partitions before, so a length that a third of all
-documents share is not one task.
+Patterns leave gaps, since rests over half a sequence fit nothing of their kind.  So the rests of every fourth document
+(by a hash of its id) are stock: their ids are stored, and laid end to end they are cut to fill the gaps in order of
+sequences, and beyond the gaps to full sequences.  Other documents are cut at full sequences only.  A gap's place in the
+stock follows from the pattern table, so this needs no join.
+
+All pieces are hashed in the one pass that encodes the text, or from the stored stock.  Ranks within a length are ranks
+within an input partition plus the counts of the partitions before, so a length that a third of all documents share is not
+one task.
 
 Nulls: a null text is empty, which is the end id alone.  Null ids and repeated rows are packed like any others.
 """
@@ -26,20 +31,26 @@ from pyspark.sql import functions as F
 from .common import written
 from .tokens import encoded
 
-PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())])
+STOCK_SHARE = 4
+PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("rank", pa.int64()), ("ids", pa.binary())])
+PIECE_COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, kind int, rank long, ids binary"
 
 
 def _pieces(path: str, size: int, end: int):
+    """Rows by kind: a length, ranked by one; or 0 for stock, ranked by its ids."""
+
     def run(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
-            doc_ids, out = batch.column("doc_id").to_pylist(), []
+            doc_ids, stock, out = batch.column("doc_id").to_pylist(), batch.column("stock").to_pylist(), []
             for row, ids in encoded(batch, path, end):
                 raw, n = ids.astype("<u4").tobytes(), len(ids)
                 for start in range(0, n, size):
                     length = min(size, n - start)
-                    out.append((doc_ids[row], start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n, part, int(seen[length])))
-                    seen[length] += 1
+                    kind = 0 if stock[row] and length < size else length
+                    kept = (ids[start:].astype("<u2").tobytes() if ids.max() < 1 << 16 else raw[4 * start :]) if not kind else None
+                    out.append((doc_ids[row], start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n, part, kind, int(seen[kind]), kept))
+                    seen[kind] += 1 if kind else length
             yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), PIECE, strict=True)] if out else [pa.array([], f.type) for f in PIECE], schema=PIECE)
 
     return run
@@ -70,7 +81,7 @@ def _best_pattern(lengths: np.ndarray, values: np.ndarray, size: int) -> tuple[f
     return best[size], pattern
 
 
-def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = 5e-4, rounds: int = 5000):
+def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = 2e-3, rounds: int = 600):
     """(patterns, amounts) of a linear program min sum(x), A x = demand; ends within gap of its bound or after rounds."""
     n = len(lengths)
     basis = np.diag((size // lengths).astype(float))
@@ -103,15 +114,19 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, gap: f
 
 
 def plan(histogram: dict[int, int], size: int):
-    """Slots for every document: rows (length, first rank, pieces a sequence, offset, first sequence, sequences)."""
+    """Places for all pieces.
+
+    slots: rows (length, first rank, pieces a sequence, offset, first sequence, sequences) for pieces by length;
+    gaps: rows (first id of the stock, ids a sequence, offset, first sequence), the last without end.
+    """
     total = {int(k): int(v) for k, v in histogram.items()}
-    slots, sequence = [], 0
+    slots, gaps, sequence, filled = [], [], 0, 0
     if size in total:
         slots.append((size, 0, 1, 0, 0, total[size]))
         sequence = total.pop(size)
     lengths = np.array(sorted(total), np.int64)
     if not len(lengths):
-        return slots
+        return slots, [(0, size, 0, sequence)]
     demand = np.array([total[k] for k in lengths], np.int64)
     patterns, amounts = column_generation(lengths, demand.astype(float), size)
     left, taken, chosen = demand.copy(), np.zeros(len(lengths), np.int64), []
@@ -136,55 +151,74 @@ def plan(histogram: dict[int, int], size: int):
             slots.append((int(lengths[i]), int(taken[i]), each, offset, sequence, amount))
             taken[i] += each * amount
             offset += each * int(lengths[i])
+        if offset < size:
+            gaps.append((filled, size - offset, offset, sequence))
+            filled += (size - offset) * amount
         sequence += amount
-    return slots
+    return slots, [*gaps, (filled, size, 0, sequence)]
 
 
-def _place(slots: list[tuple], size: int):
-    """sequence_id and offset of a piece from its length and global rank."""
-    table = np.array(sorted(slots), np.int64).reshape(-1, 6)
+def _place(slots: list[tuple], gaps: list[tuple]):
+    """Pieces with sequence_id and offset, from their kind and rank."""
+    table, gap = np.array(sorted(slots), np.int64).reshape(-1, 6), np.array(gaps, np.int64)
     span = int((table[:, 1] + table[:, 2] * table[:, 5]).max()) + 1 if len(table) else 1
     keys = table[:, 0] * span + table[:, 1]
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 
     def run(batches):
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            slot = table[np.searchsorted(keys, length * span + rank, "right") - 1]
-            k = rank - slot[:, 1]
-            columns = {c: batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-            columns |= {"sequence_id": pa.array(slot[:, 4] + k // slot[:, 2]), "offset": pa.array(slot[:, 3] + k % slot[:, 2] * length)}
-            yield pa.record_batch(columns)
+            kind = batch.column("kind").to_numpy()
+            whole = batch.filter(pa.array(kind > 0))
+            if whole.num_rows:
+                length, rank = whole.column("length").to_numpy(), whole.column("rank").to_numpy()
+                slot = table[np.searchsorted(keys, length * span + rank, "right") - 1]
+                k = rank - slot[:, 1]
+                columns = {c: whole.column(c) for c in names}
+                yield pa.record_batch(columns | {"sequence_id": pa.array(slot[:, 4] + k // slot[:, 2]), "offset": pa.array(slot[:, 3] + k % slot[:, 2] * length)})
+            out = []
+            for r in batch.filter(pa.array(kind == 0)).to_pylist():
+                raw = np.frombuffer(r["ids"], "<u2" if len(r["ids"]) == 2 * r["length"] else "<u4").astype("<u4").tobytes()
+                at = 0
+                while at < r["length"]:
+                    first, room, offset, sequence = gap[int(np.searchsorted(gap[:, 0], r["rank"] + at, "right")) - 1].tolist()
+                    turn, inside = divmod(r["rank"] + at - first, room)
+                    n = min(room - inside, r["length"] - at)
+                    out.append((r["doc_id"], r["start"] + at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), r["doc_tokens"], sequence + turn, offset + inside))
+                    at += n
+            if out:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], [*names, "sequence_id", "offset"])
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end: int = 0) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long"
-    pieces = written(docs.mapInArrow(_pieces(tokenizer, size, end), kind), "pieces")
-    counts = written(pieces.groupBy("part", "length").count(), "piece-counts")
-    slots = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, size)
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.join(counts, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
+    stock = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)), F.lit(STOCK_SHARE)) == 0
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), stock.alias("stock"))
+    pieces = written(docs.mapInArrow(_pieces(tokenizer, size, end), PIECE_COLUMNS), "pieces")
+    n = F.when(F.col("kind") == 0, F.col("length")).otherwise(1)
+    counts = written(pieces.groupBy("part", "kind").agg(F.sum(n).alias("n")), "piece-counts")
+    histogram = {r["kind"]: r["n"] for r in counts.where("kind > 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    before = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("part", "kind", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = pieces.join(counts, ["part", "kind"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(_place(slots, size), out)
+    return ranked.mapInArrow(_place(*plan(histogram, size)), out)
 
 
 def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str, size: int = 1024, end: int = 0) -> DataFrame:
-    """sequence_id and its ids: the packed rows themselves, padded with the end id unless their length is a power of two."""
+    """sequence_id, n_tokens and input_ids: the packed rows, padded with the end id unless their length is a power of two."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def cut(batches):
+    def ids_of(batches):
         for batch in batches:
-            doc_ids, out = batch.column("doc_id").to_pylist(), []
+            doc_ids = batch.column("doc_id").to_pylist()
             for row, ids in encoded(batch, tokenizer, end):
-                out += [(doc_ids[row], s, ids[s : s + size].tolist()) for s in range(0, len(ids), size)]
-            yield pa.table({"doc_id": [x[0] for x in out], "start": [x[1] for x in out], "ids": [x[2] for x in out]}, schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])).combine_chunks().to_batches()[0] if out else pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
+                yield pa.record_batch([pa.array([doc_ids[row]], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    rows = docs.mapInArrow(cut, "doc_id long, start long, ids array<int>").join(pieces.select("doc_id", "start", "sequence_id", "offset"), ["doc_id", "start"])
-    joined = rows.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
+    rows = docs.mapInArrow(ids_of, "doc_id long, ids array<int>").join(pieces.select("doc_id", "start", "length", "sequence_id", "offset"), "doc_id")
+    part = F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
+    joined = rows.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", part.alias("ids")))), lambda x: x["ids"])).alias("ids"))
     n = F.size("ids")
     pad = F.when((n < size) & (n.bitwiseAND(n - 1) != 0), size - n).otherwise(0)
     return joined.select("sequence_id", n.alias("n_tokens"), F.concat("ids", F.array_repeat(F.lit(end), pad)).alias("input_ids"))
