@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, line_dedup
+from .decontaminate import contaminated
 from .packing import pack
 from .simhash import simhash_classes
 from .substring_dedup import substring_dedup
 from .token_files import read_token_shards, write_token_shards
+from .topk import integer_vectors, top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +27,10 @@ def op1_substring_dedup(spark, sf_dir):
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark, sf_dir):
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_packing(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -32,15 +39,35 @@ def op5_token_files(spark, sf_dir):
     return read_token_shards(write_token_shards(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark, sf_dir):
+    hard = r"\### Assistant: </turn> ok"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.write_chats(rows.unionByName(more)))
+
+
 def op9_simhash(spark, sf_dir):
     return simhash_classes(_table(spark, sf_dir, "documents"))
 
 
+def op10_top_k(spark, sf_dir):
+    vectors = integer_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(vectors.where("id % 50 = 0"), vectors)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
+    "op10_top_k": op10_top_k,
 }
 
 SQL: dict[str, str] = {}
