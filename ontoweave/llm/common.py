@@ -41,11 +41,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that earlier calls wrote; only for callers whose own output is already stored."""
+def mark() -> int:
+    """How many paths were handed out so far, for since()."""
+    return len(_written)
+
+
+def since(before: int) -> list[str]:
+    return _written[before:]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables (and empty the list); only for callers whose own output is already stored."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
