@@ -1,8 +1,8 @@
 """Token-id shards with a minimal perfect hash index.
 
 A shard is one file: raw ids in ascending order of documents, then the index, then a footer with the places of both.  The
-index maps a document id to its slot by hash and displace (a displacement for each small bucket of keys, so that n keys
-fill n slots); a slot holds a fingerprint of its key, the payload offset and the length.  A lookup hashes the key, reads one
+index maps a document id to its slot by levels of bitmaps (a key is placed on the first level where it is alone on its bit, and
+its slot is the number of set bits before, so that n keys fill n slots); a slot holds a fingerprint of its key, the payload offset and the length.  A lookup hashes the key, reads one
 slot and compares the fingerprint: constant time, over payload that is never parsed.
 
 Shards are written by tasks to the shared folder (any file system pyarrow opens by URI) under names of their own attempt; the
@@ -30,49 +30,46 @@ from .common import NO_ID, mix, new_path, text_bytes, written
 from .tokens import encoded
 
 MAGIC = b"TOKSHRD1"
-BUCKET = 4
+#: Bits of a level for each key left.
+GAMMA = 2
 
 
 def _hash(keys: np.ndarray, seed) -> np.ndarray:
     return mix(keys.astype(np.int64).view(np.uint64) ^ mix(np.atleast_1d(np.asarray(seed, np.uint64)) + np.uint64(0x9E3779B97F4A7C15)))
 
 
-def build_mph(keys: np.ndarray) -> tuple[int, np.ndarray]:
-    """(seed, displacements) of a minimal perfect hash of distinct keys; a negative one names the slot of a single key."""
-    n = len(keys)
-    for seed in range(1 << 16):
-        n_buckets = max(1, -(-n // BUCKET))
-        bucket = (_hash(keys, seed) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        sizes = np.bincount(bucket, minlength=n_buckets)
-        first = np.cumsum(sizes) - sizes
-        shift, taken = np.zeros(n_buckets, np.int64), np.zeros(max(n, 1), bool)
-        for b in np.argsort(-sizes, kind="stable"):
-            if sizes[b] < 2:
-                break
-            mine = keys[order[first[b] : first[b] + sizes[b]]]
-            for d in range(1, 1 << 20):
-                slots = (_hash(mine, d + (1 << 32)) % np.uint64(n)).astype(np.int64)
-                if not taken[slots].any() and len(np.unique(slots)) == len(slots):
-                    break
-            else:
-                break  # another seed
-            shift[b], taken[slots] = d, True
-        else:
-            b = None
-        if b is None or sizes[b] < 2:
-            single = np.flatnonzero(sizes == 1)
-            shift[single] = -1 - np.flatnonzero(~taken[:n])[: len(single)]
-            return seed, shift
-    raise RuntimeError("no perfect hash found; are the keys distinct?")
-
-
-def mph_slots(keys: np.ndarray, seed: int, shift: np.ndarray, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(len(keys), np.int64)
-    d = shift[(_hash(keys, seed) % np.uint64(len(shift))).astype(np.int64)]
-    hashed = (_hash(keys, np.maximum(d, 0).astype(np.uint64) + np.uint64(1 << 32)) % np.uint64(n)).astype(np.int64)
-    return np.where(d < 0, -1 - d, hashed)
+def build_mph(keys: np.ndarray) -> dict[str, np.ndarray]:
+    """A minimal perfect hash of distinct keys as levels of bitmaps.
+
+    A level has about two bits for each key that is left; keys alone on a bit are placed there, the others go on to the next
+    level.  A key's slot is the number of set bits before its own.
+    """
+    left, sizes, maps, level = keys, [], [], 0
+    while len(left):
+        m = -(-max(64, GAMMA * len(left)) // 8) * 8
+        at = (_hash(left, level) % np.uint64(m)).astype(np.int64)
+        alone = np.bincount(at, minlength=m) == 1
+        sizes.append(m)
+        maps.append(np.packbits(alone, bitorder="little"))
+        left, level = left[~alone[at]], level + 1
+    bits = np.concatenate([*maps, np.zeros(0, np.uint8)])
+    ranks = np.cumsum(np.bitwise_count(bits), dtype=np.int64) - np.bitwise_count(bits)
+    return {"sizes": np.array(sizes, "<i8"), "bits": bits, "ranks": ranks.astype("<i4")}
+
+
+def mph_slots(keys: np.ndarray, mph: dict[str, np.ndarray]) -> np.ndarray:
+    """The slot of each key; some slot, or 0, for keys that are not in the hash."""
+    slots, left, first = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
+    for level, m in enumerate(mph["sizes"].tolist()):
+        at = (_hash(keys[left], level) % np.uint64(m)).astype(np.int64)
+        byte, bit = first + at // 8, (at % 8).astype(np.uint8)
+        there = (mph["bits"][byte] >> bit) & 1 == 1
+        below = np.bitwise_count(mph["bits"][byte] & ((np.uint8(1) << bit) - np.uint8(1)))
+        slots[left[there]] = (mph["ranks"][byte] + below)[there]
+        left, first = left[~there], first + m // 8
+        if not len(left):
+            break
+    return slots
 
 
 def fingerprints(keys: np.ndarray) -> np.ndarray:
@@ -100,7 +97,7 @@ class Shard:
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(found, offset, length) in ids of each key; a key that is not in the shard is not found but for a chance of 2**-32."""
-        slots = mph_slots(keys, self.meta["seed"], self.index["shift"], self.n)
+        slots = mph_slots(keys, self.index)
         if not self.n:
             return np.zeros(len(keys), bool), slots, slots
         return self.index["print"][slots] == fingerprints(keys), self.index["offset"][slots], self.index["length"][slots]
@@ -138,13 +135,13 @@ def _write(folder: str, tokenizer: str, end: int, wide: bool):
         ids, lengths = np.concatenate(ids_of), np.array(lengths, np.int64)
         offsets = np.cumsum(lengths) - lengths
         keys, first = np.unique(ids[ids != NO_ID], return_index=True)
-        seed, shift = build_mph(keys)
-        slots = mph_slots(keys, seed, shift, len(keys))
+        mph = build_mph(keys)
+        slots = mph_slots(keys, mph)
         n = len(keys)
         order = np.empty(n, np.int64)
         order[slots] = first
-        arrays = {"shift": shift.astype("<i4"), "print": fingerprints(ids[order]).astype("<u4"), "offset": offsets[order].astype("<i8"), "length": lengths[order].astype("<i8"), "ids": ids.astype("<i8"), "lengths": lengths.astype("<i8")}
-        head = json.dumps({"dtype": width.str, "keys": n, "seed": seed, "arrays": [(k, v.dtype.str, len(v)) for k, v in arrays.items()]}).encode()
+        arrays = {**mph, "print": fingerprints(ids[order]).astype("<u4"), "offset": offsets[order].astype("<i8"), "length": lengths[order].astype("<i8"), "ids": ids.astype("<i8"), "lengths": lengths.astype("<i8")}
+        head = json.dumps({"dtype": width.str, "keys": n, "arrays": [(k, v.dtype.str, len(v)) for k, v in arrays.items()]}).encode()
         out.write(head)
         for x in arrays.values():
             out.write(x.tobytes())
