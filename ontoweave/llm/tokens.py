@@ -15,7 +15,7 @@ import numpy as np
 import regex
 
 #: Pieces and words that a worker remembers; a table starts anew beyond that, which changes no id.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _TWO = re.compile(r"\s\s")
 #: The word pattern of byte-level BPE tokenizers, and the same for texts without the characters of _ODD, which is faster.
@@ -63,6 +63,18 @@ class Table:
         return total, self.pool[np.repeat(self.first[at] - total[:-1], n) + np.arange(total[-1])]
 
 
+def _places(strings: list[str], place, learn) -> np.ndarray:
+    """Places of strings in a table that learns those it lacks."""
+    at = list(map(place().get, strings))
+    if None in at:
+        lacking = [i for i, x in enumerate(at) if x is None]
+        new = [strings[i] for i in lacking]
+        learn(list(dict.fromkeys(new)))
+        for i, x in zip(lacking, map(place().__getitem__, new), strict=True):
+            at[i] = x
+    return np.array(at, np.int64)
+
+
 class Encoder:
     def __init__(self, path: str):
         import os
@@ -115,11 +127,7 @@ class Encoder:
                 found = (_WORDS if _ODD.search(p) else _PLAIN_WORDS).findall(p)
                 words += found
                 sizes.append(len(found))
-        at = list(map(self.words.place.get, words))
-        if None in at:
-            self._encode_words(list(dict.fromkeys(w for w, x in zip(words, at, strict=True) if x is None)))
-            at = list(map(self.words.place.get, words))
-        total, ids = self.words.ids(np.array(at, np.int64))
+        total, ids = self.words.ids(_places(words, lambda: self.words.place, self._encode_words))
         self.pieces.add(pieces, np.diff(total[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]), ids)
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +146,7 @@ class Encoder:
             sizes.append(len(found))
         if len(self.pieces.place) > REMEMBERED:
             self.pieces = Table()
-        at = list(map(self.pieces.place.get, pieces))
-        if None in at:
-            self._learn(list(dict.fromkeys(p for p, x in zip(pieces, at, strict=True) if x is None)))
-            at = list(map(self.pieces.place.get, pieces))
-        total, ids = self.pieces.ids(np.array(at, np.int64))
+        total, ids = self.pieces.ids(_places(pieces, lambda: self.pieces.place, self._learn))
         cuts = total[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
         if end is not None:
             ids = np.insert(ids, cuts[1:], end)
