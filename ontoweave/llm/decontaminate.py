@@ -102,5 +102,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> D
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """docs without contaminated documents."""
-    bad = contaminated(docs, benchmark, least).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = contaminated(docs, benchmark, least).select(F.col("doc_id").alias("__ow_bad")).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__ow_bad")), "left_anti")

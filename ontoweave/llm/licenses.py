@@ -3,8 +3,8 @@
 Words are lower-case runs of letters and digits (anything beyond ASCII counts as one).  The hashes of all rolling word k-grams of a text
 are joined to the positions of the same k-grams in license templates; a match at document word p and template word q votes
 for the diagonal p - q.  Votes are counted by document, template and diagonal; diagonals up to two apart are merged, as an
-inserted or lost word shifts the rest; and a merged span is verified: the share of the template's k-grams it covers must
-reach ``least`` (phrases: all of them, on one diagonal, so each place of a phrase is one diagonal).
+inserted or lost word shifts the rest; and a merged span is verified: the share of the template's words that its k-grams cover
+must reach ``least`` (phrases: all k-grams, on one diagonal, so each place of a phrase is one diagonal).
 
 Templates are a constant of this module, so the broadcast side of the join has a fixed size.  Votes are partial sums by
 document; there is no shuffle of k-grams without a match.
@@ -102,8 +102,9 @@ def license_spans(docs: DataFrame, least: float = 0.8) -> DataFrame:
     order = Window.partitionBy("doc_id", "t", "label").orderBy("diagonal")
     merged = lines.where(~F.col("base")).withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > APART, F.lit(True)).cast("int"))
     merged = merged.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = merged.groupBy(*key, "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("q")))).alias("covered"), F.min(F.col("diagonal") + F.array_min("q")).alias("first_word"))
-    merged = merged.withColumn("similarity", F.col("covered") / F.col("size")).where(F.col("similarity") >= least)
+    words = F.flatten(F.transform("q", lambda q: F.sequence(q, q + (TEMPLATE_GRAM - 1))))
+    merged = merged.groupBy(*key, "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list(words)))).alias("covered"), F.min(F.col("diagonal") + F.array_min("q")).alias("first_word"))
+    merged = merged.withColumn("similarity", F.col("covered") / (F.col("size") + (TEMPLATE_GRAM - 1))).where(F.col("similarity") >= least)
     return phrases.unionByName(merged.select("doc_id", "t", "label", "base", "first_word", "similarity"))
 
 

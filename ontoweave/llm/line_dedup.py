@@ -23,42 +23,54 @@ from .common import NO_ID
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_hash": F.xxhash64("text"), "_lines": F.split("text", "\n")})
+    return docs.withColumns({"__ow_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__ow_hash": F.xxhash64("text"), "__ow_lines": F.split("text", "\n")})
 
 
 def repeated_lines(docs: DataFrame, window: int = 3) -> DataFrame:
-    """_id, _hash and gone (sorted places of lines to delete) of documents that have some."""
-    lines = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).where(F.size("_lines") >= window)
-    hashes = F.transform("_lines", lambda x: F.xxhash64(x))
+    """__ow_id, __ow_hash and __ow_gone (sorted places of lines to delete) of documents that have some."""
+    lines = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).where(F.size("__ow_lines") >= window)
+    hashes = F.transform("__ow_lines", lambda x: F.xxhash64(x))
     runs = F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda s: F.struct(s.alias("s"), F.slice("h", s + 1, window).alias("run")))
-    placed = lines.select("_id", "_hash", hashes.alias("h")).select("_id", "_hash", F.inline(runs))
+    placed = lines.select("__ow_id", "__ow_hash", hashes.alias("h")).select("__ow_id", "__ow_hash", F.inline(runs))
     least = F.array_min("run")
     parts = [F.col("run")[i] for i in range(window)]
-    place = F.struct("_id", "_hash", (F.col("s") + F.array_position("run", least) - 1).alias("at"))
-    placed = placed.select("_id", "_hash", "s", least.alias("fingerprint"), place.alias("place"), F.xxhash64(*parts).alias("r1"), F.xxhash64(F.lit("second"), *parts).alias("r2"))
+    place = F.struct("__ow_id", "__ow_hash", (F.col("s") + F.array_position("run", least) - 1).alias("at"))
+    placed = placed.select("__ow_id", "__ow_hash", "s", least.alias("fingerprint"), place.alias("place"), F.xxhash64(*parts).alias("r1"), F.xxhash64(F.lit("second"), *parts).alias("r2"))
     common = placed.groupBy("fingerprint").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("fingerprint")
-    matched = placed.join(common, "fingerprint").select("r1", "r2", F.struct("_id", "_hash", "s").alias("at"))
+    matched = placed.join(common, "fingerprint").select("r1", "r2", F.struct("__ow_id", "__ow_hash", "s").alias("at"))
     first = matched.groupBy("r1", "r2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("r1", "r2", "first")
     later = matched.join(first, ["r1", "r2"]).where("at > first").select("at.*")
-    starts = later.groupBy("_id", "_hash").agg(F.collect_set("s").alias("starts"))
+    starts = later.groupBy("__ow_id", "__ow_hash").agg(F.collect_set("s").alias("starts"))
     gone = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + window - 1)))))
-    return starts.select("_id", "_hash", gone.alias("gone"))
+    return starts.select("__ow_id", "__ow_hash", gone.alias("__ow_gone"))
 
 
-def line_dedup(docs: DataFrame, window: int = 3) -> DataFrame:
-    """docs with text without its repeated lines, and columns n_lines and n_removed (longs)."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_id", "_hash", "_lines", "gone")]
-    marked = _keyed(docs.select(*names).withColumn("text", F.col("text").cast("string"))).drop("_lines")
-    joined = marked.join(repeated_lines(docs, window), ["_id", "_hash"], "left")
+def _deduped(docs: DataFrame, window: int) -> DataFrame:
+    """docs with text without its repeated lines, and columns __ow_n_lines and __ow_n_removed."""
+    marked = _keyed(docs.withColumn("text", F.col("text").cast("string"))).drop("__ow_lines")
+    joined = marked.join(repeated_lines(docs, window), ["__ow_id", "__ow_hash"], "left")
     lines = F.split("text", "\n")
     # the lines between deleted ones: from behind one deleted line to before the next
-    edges = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size(lines)))
-    pieces = F.transform(F.sequence(F.lit(1), F.size("gone") + 1), lambda k: F.slice(lines, F.element_at(edges, k) + 2, F.element_at(edges, k + 1) - F.element_at(edges, k) - 1))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(pieces), "\n"))
+    edges = F.concat(F.array(F.lit(-1)), F.col("__ow_gone"), F.array(F.size(lines)))
+    pieces = F.transform(F.sequence(F.lit(1), F.size("__ow_gone") + 1), lambda k: F.slice(lines, F.element_at(edges, k) + 2, F.element_at(edges, k + 1) - F.element_at(edges, k) - 1))
+    kept = F.when(F.col("__ow_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(pieces), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
-    columns = [kept.alias("text") if c == "text" else F.col(c) for c in names]
-    return joined.select(*columns, n_lines.alias("n_lines"), n_gone.alias("n_removed"))
+    n_gone = F.when(F.col("__ow_gone").isNull(), 0).otherwise(F.size("__ow_gone")).cast("long")
+    return joined.select(*(kept.alias(c) if c == "text" else F.col(c) for c in docs.columns), n_lines.alias("__ow_n_lines"), n_gone.alias("__ow_n_removed"))
+
+
+def line_dedup(docs: DataFrame, window: int = 3) -> DataFrame:
+    """docs with text without its repeated lines, and columns n_lines and n_removed (longs; they replace columns of these names)."""
+    out = _deduped(docs, window)
+    return out.drop("n_lines", "n_removed").withColumnsRenamed({"__ow_n_lines": "n_lines", "__ow_n_removed": "n_removed"})
+
+
+def without_repeats(docs: DataFrame, window: int = 3) -> DataFrame:
+    """docs, with its columns: text without repeated lines, n_chars (if there) to match, and no document that was all repeats."""
+    kept = _deduped(docs, window).where("__ow_n_removed = 0 or __ow_n_removed < __ow_n_lines")
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("__ow_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
 
 
 def digest(docs: DataFrame, window: int = 3) -> DataFrame:

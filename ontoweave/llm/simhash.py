@@ -173,6 +173,6 @@ def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
     Rows without an id cannot be named as the kept one, so all of them stay.  Rows that share the kept id are one document.
     """
     key = F.col("doc_id").cast("long")
-    kept = simhash_classes(docs.where(key.isNotNull()), size).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(key.isNotNull()).join(kept, key == F.col("_kept")).dropDuplicates(["_kept"]).drop("_kept")
+    kept = simhash_classes(docs.where(key.isNotNull()), size).where("doc_id = component_id").select(F.col("doc_id").alias("__ow_kept")).distinct()
+    named = docs.where(key.isNotNull()).join(kept, key == F.col("__ow_kept")).dropDuplicates(["__ow_kept"]).drop("__ow_kept")
     return named.unionByName(docs.where(key.isNull()))

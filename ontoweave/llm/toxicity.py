@@ -165,10 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 1500, chars: int = 20_
     return Model().fit([r.text for r in sample], [r.toxic for r in sample]).scalars()
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.7) -> DataFrame:
-    """docs with score and predicted."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.7, new: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with a score and the predicted class; these columns replace others of their names."""
     values = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the corpus
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names = [c for c in docs.columns if c not in new]
     docs = docs.select(*names)
 
     def run(batches):
@@ -178,9 +178,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.7)
             parts = [score_texts([x or "" for x in column.slice(i, j - i).to_pylist()], *values.value) for i, j in steps(offsets, 1 << 19)]
             found = np.concatenate(parts) if parts else np.zeros(0)
             arrays = [*batch.columns, pa.array(found), pa.array((found >= least).astype(np.int32))]
-            yield pa.record_batch(arrays, [*batch.schema.names, "score", "predicted"])
+            yield pa.record_batch(arrays, [*batch.schema.names, *new])
 
-    kind = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    kind = T.StructType([*docs.schema.fields, T.StructField(new[0], T.DoubleType()), T.StructField(new[1], T.IntegerType())])
     return docs.mapInArrow(run, kind)
 
 
@@ -192,4 +192,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFram
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """docs without those predicted toxic."""
-    return score(docs.withColumn("text", F.col("text").cast("string")), train(docs, labels), least).where("predicted = 0").select(*docs.columns)
+    scored = score(docs.withColumn("text", F.col("text").cast("string")), train(docs, labels), least, ("__ow_score", "__ow_toxic"))
+    return scored.where("__ow_toxic = 0").select(*docs.columns)

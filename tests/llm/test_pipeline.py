@@ -1,0 +1,46 @@
+"""The pipeline and the queries' SQL on the driver's smallest tables."""
+
+import os
+
+import pytest
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+
+
+def test_pipeline_keeps_what_its_stages_keep(spark):
+    import corpus_pipeline as p
+    from ontoweave.llm import decontaminate, line_dedup, simhash, toxicity
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    scores = toxicity.toxicity(docs, read("labels"))
+    left = docs.join(scores.where("predicted = 0").select("doc_id"), "doc_id").select(*docs.columns)
+    left = line_dedup.without_repeats(left)
+    classes = simhash.simhash_classes(left).where("doc_id = component_id").select("doc_id")
+    left = left.join(classes, "doc_id").select(*docs.columns)
+    bad = decontaminate.contaminated(left, read("benchmark")).select("doc_id")
+    want = {r.doc_id for r in left.join(bad, "doc_id", "left_anti").collect()}
+    got = p.run(spark, SF)
+    assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == want
+    for _, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == left.columns
+        docs = docs.cache()
+        docs.count()
+
+
+def test_sql(spark):
+    import duckdb
+
+    from ontoweave.llm.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for name, sql in SQL.items():
+        want = con.execute(sql).df()
+        got = QUERIES[name](spark, SF).toPandas()
+        columns = sorted(want.columns)
+        assert sorted(got.columns) == columns
+        assert sorted(got[columns].itertuples(index=False, name=None)) == sorted(want[columns].itertuples(index=False, name=None)), name
