@@ -6,11 +6,10 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ontoweave.llm import common
 from ontoweave.llm.decontaminate import decontaminate
-from ontoweave.llm.line_dedup import line_dedup
+from ontoweave.llm.line_dedup import without_repeats
 from ontoweave.llm.packing import pack
 from ontoweave.llm.queries import tokenizer_path
 from ontoweave.llm.simhash import keep_one
@@ -24,10 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeats of line runs; one that consists of repeats is gone."""
-    kept = line_dedup(docs).where("n_removed = 0 or n_removed < n_lines")
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return without_repeats(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
