@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF = 256
+LEAF, CENTRES = 256, 64
 PAIR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -53,15 +53,21 @@ def cover_tree(points: np.ndarray) -> tuple[Node, np.ndarray]:
         if n <= LEAF or node.radius <= 1e-9:
             continue
         half, mine = node.radius / 2, order[node.first : node.end]
-        left, near, at = np.arange(n), away, node.first
-        pieces, centre = [], node.centre
-        while len(left):
-            inside = near <= half
-            pieces.append((centre, left[inside], near[inside]))
-            left = left[~inside]
-            if len(left):
-                centre = points[mine[left[0]]]
-                near = np.sqrt(((points[mine[left]] - centre) ** 2).sum(1))
+        own, at = points[mine], node.first
+        squares = (own**2).sum(1)
+        inside = away <= half
+        pieces, left = [(node.centre, np.flatnonzero(inside), away[inside])], np.flatnonzero(~inside)
+        while len(left):  # the next rows that no child covers become centres, measured some at a time
+            some = left[:CENTRES]
+            near = np.sqrt(np.maximum(squares[left, None] + squares[some] - 2 * (own[left] @ own[some].T), 0))
+            free = np.ones(len(left), bool)
+            for j in range(len(some)):
+                if free[j]:
+                    near[j, j] = 0
+                    inside = free & (near[:, j] <= half)
+                    pieces.append((own[some[j]], left[inside], near[inside, j]))
+                    free &= ~inside
+            left = left[free]
         order[node.first : node.end] = mine[np.concatenate([p[1] for p in pieces])]
         for centre, rows, near in pieces:
             child = Node(centre, float(near.max()), at, at + len(rows))
@@ -81,36 +87,64 @@ def _walk(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids
     ids = np.full((n, k), np.iinfo(np.int64).max)
     slack = 1e-6 * (1 + q_root.norm + q_root.radius) * (1 + x_root.norm + x_root.radius)
 
-    def bound(a, b):
-        return float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius + slack
-
-    turn = 0
-    heap = [(-bound(q_root, x_root), turn, q_root, x_root)]
+    def arrays(nodes):
+        return np.stack([c.centre for c in nodes]), np.array([c.norm for c in nodes]), np.array([c.radius for c in nodes])
+
+    def bounds(left, right):
+        (p, p_norm, p_radius), (x, x_norm, x_radius) = left, right
+        return p @ x.T + p_norm[:, None] * x_radius + p_radius[:, None] * x_norm + p_radius[:, None] * x_radius + slack
+
+    def worst(a):
+        return scores[a.first : a.end, k - 1].min()
+
+    def compare(mine, rows, allowed):
+        """Queries mine against rows of data, where allowed."""
+        found = np.where(allowed & (query_ids[mine, None] != data_ids[rows]), queries[mine] @ data[rows].T, -np.inf)
+        least = scores[mine, k - 1]
+        if found.shape[1] > k:
+            least = np.maximum(least, np.partition(found, -k, axis=1)[:, -k])
+        hits = (found >= least[:, None]) & np.isfinite(found)
+        for i in np.flatnonzero(hits.any(1)):
+            at, q = np.flatnonzero(hits[i]), mine[i]
+            both, both_ids = np.concatenate([scores[q], found[i, at]]), np.concatenate([ids[q], data_ids[rows[at]]])
+            best = np.lexsort((both_ids, -both))[:k]
+            scores[q], ids[q] = both[best], both_ids[best]
+
+    def ranges(nodes):
+        """Rows below the nodes, and the node of each."""
+        first, n = np.array([c.first for c in nodes]), np.array([c.end - c.first for c in nodes])
+        of = np.repeat(np.arange(len(nodes)), n)
+        return np.arange(n.sum()) - (np.cumsum(n) - n)[of] + first[of], of
+
+    below = {}
+
+    def parts(node):
+        """The node's children (or itself), with their centres, norms and radii."""
+        if id(node) not in below:
+            nodes = node.children or [node]
+            below[id(node)] = nodes, arrays(nodes)
+        return below[id(node)]
+
+    turn, heap = 0, [(-np.inf, 0, q_root, x_root)]
     while heap:
         most, _, a, b = heapq.heappop(heap)
-        if -most < scores[a.first : a.end, k - 1].min():
-            continue
-        if a.children and (not b.children or a.radius >= b.radius):
-            pairs = [(c, b) for c in a.children]
-        elif b.children:
-            pairs = [(a, c) for c in b.children]
-        else:
-            found = queries[a.first : a.end] @ data[b.first : b.end].T
-            found = np.where(query_ids[a.first : a.end, None] == data_ids[None, b.first : b.end], -np.inf, found)
-            better = np.flatnonzero((found >= scores[a.first : a.end, k - 1 :]).any(1) & np.isfinite(found).any(1))
-            if len(better):
-                mine = better + a.first
-                both = np.concatenate([scores[mine], found[better]], 1)
-                both_ids = np.concatenate([ids[mine], np.broadcast_to(data_ids[b.first : b.end], (len(mine), found.shape[1]))], 1)
-                best = np.lexsort((both_ids, -both), axis=1)[:, :k]
-                scores[mine] = np.take_along_axis(both, best, 1)
-                ids[mine] = np.take_along_axis(both_ids, best, 1)
+        if -most < worst(a):
             continue
-        for c, d in pairs:
-            value = bound(c, d)
-            if value >= scores[c.first : c.end, k - 1].min():
+        (left, left_arrays), (right, right_arrays) = parts(a), parts(b)
+        value = bounds(left_arrays, right_arrays)
+        keep = value >= np.array([worst(c) for c in left])[:, None]
+        q_leaf, x_leaf = (np.array([not c.children for c in nodes]) for nodes in (left, right))
+        if (near := keep & q_leaf[:, None] & x_leaf).any():
+            q_nodes, x_nodes = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+            mine, q_of = ranges([left[i] for i in q_nodes])
+            rows, x_of = ranges([right[j] for j in x_nodes])
+            near = near[np.ix_(q_nodes, x_nodes)]
+            for i in range(0, len(mine), 256):
+                compare(mine[i : i + 256], rows, near[q_of[i : i + 256]][:, x_of])
+        for i, j in zip(*np.nonzero(keep & ~(q_leaf[:, None] & x_leaf)), strict=True):
+            if value[i, j] >= worst(left[i]):
                 turn += 1
-                heapq.heappush(heap, (-value, turn, c, d))
+                heapq.heappush(heap, (-value[i, j], turn, left[i], right[j]))
     row, col = np.nonzero(np.isfinite(scores))
     return query_ids[row], ids[row, col], scores[row, col].astype(np.int64)
 
@@ -146,7 +180,7 @@ def integer_vectors(df: DataFrame, id_column: str, column: str, factor: int = 25
     return df.where(F.coalesce(good, F.lit(False))).select(F.col(id_column).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * factor)).alias("v"))
 
 
-def top_k(queries: DataFrame, data: DataFrame, k: int = 5, block: int = 8192) -> DataFrame:
+def top_k(queries: DataFrame, data: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score from frames of id and v (array of longs); only vectors of one length are compared.
 
     An empty vector scores 0 against empty ones.
