@@ -156,13 +156,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 1500, chars: int = 20_
     """(numbers of buckets, bias) from at most ``rows`` labelled rows of each class."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(~held_out())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= chars)
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
-    both = [texts.join(marks.where(F.col("toxic") == y), "doc_id").orderBy(*order).limit(rows).collect() for y in (0, 1)]
+    # the rows are chosen without their texts, which would have to be dealt out for the join; then few ids fetch theirs
+    known = texts.select("doc_id", F.xxhash64("text").alias("t")).join(marks, "doc_id")
+    best = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(rows).collect() for y in (0, 1)]
+    wanted = {(r.doc_id, r.t): r.toxic for chosen in best for r in chosen}
+    found = texts.where(F.col("doc_id").isin([i for i, _ in wanted])).select("doc_id", F.xxhash64("text").alias("t"), "text").collect() if wanted else []
+    texts_of = {(r.doc_id, r.t): r.text for r in found if (r.doc_id, r.t) in wanted}
+    both = [[(texts_of[k], y) for k, label in wanted.items() if label == y] for y in (0, 1)]
     if not all(both):
         share = len(both[1]) / max(1, len(both[0]) + len(both[1]))
         return np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     sample = [r for rows_of in both for r in rows_of]
-    return Model().fit([r.text for r in sample], [r.toxic for r in sample]).scalars()
+    return Model().fit([text for text, _ in sample], [y for _, y in sample]).scalars()
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.7, new: tuple[str, str] = ("score", "predicted")) -> DataFrame:
