@@ -1,12 +1,13 @@
 """Class hierarchies: closure, depth, order, disjointness and inherited properties over edge tables (child, parent).
 
 The closure is built by recursive doubling, so a chain of n classes takes log2 n rounds; every round is written to the shared
-folder when one is named, else checkpointed by Spark.  Cycles are found on the closure before any depth is computed.
+folder.  Cycles are found on the closure before any depth is computed.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +16,12 @@ from ontoweave.errors import GraphCycleError
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder that spark.checkpoint.dir names (a local one where that is unset)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ontoweave-"))
-    return df.checkpoint()
+    """df without its lineage: a table in the folder that spark.checkpoint.dir names (a local one where that is unset), computed once."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    path = f"{folder.rstrip('/')}/ontoweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _doubling(edges: DataFrame, depths: bool) -> DataFrame:
@@ -42,8 +44,43 @@ def cyclic(edges: DataFrame) -> DataFrame:
     return _doubling(edges, False).where("child = parent").select(F.col("child").alias("node"))
 
 
+#: Up to so many edges (a schema's size) a closure is computed on the driver, which saves a dozen small jobs.
+FEW = 1000
+
+
+def _small(pairs: list[tuple[str, str]]) -> list[tuple]:
+    """The closure of a few edges, each class after all its parents."""
+    up: dict[str, list[str]] = {}
+    for child, parent in pairs:
+        up.setdefault(child, []).append(parent)
+    done: dict[str, dict] = {}
+    for start in up:
+        stack = [start]
+        while stack:
+            at = stack[-1]
+            waiting = [p for p in up.get(at, ()) if p not in done] if at not in done else []
+            if loop := [p for p in waiting if p in stack]:
+                raise GraphCycleError("cycle through " + ", ".join(sorted(stack[stack.index(loop[0]) :])[:3]))
+            if waiting:
+                stack.append(waiting[0])
+                continue
+            stack.pop()
+            if at in done:
+                continue
+            far: dict[str, tuple[int, int]] = {}
+            for p in up.get(at, ()):
+                for q, (lo, hi) in {p: (0, 0), **done[p]}.items():
+                    was = far.get(q, (lo + 1, hi + 1))
+                    far[q] = min(was[0], lo + 1), max(was[1], hi + 1)
+            done[at] = far
+    return [(c, p, lo, hi) for c, far in done.items() for p, (lo, hi) in far.items()]
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """child, parent (any ancestor), lo and hi: the fewest and most edges between them."""
+    few = edges.where("child is not null and parent is not null").select("child", "parent").distinct().limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        return edges.sparkSession.createDataFrame(_small([tuple(r) for r in few]), "child string, parent string, lo int, hi int")
     on_cycle = cyclic(edges).orderBy("node").limit(3).collect()
     if on_cycle:
         raise GraphCycleError("cycle through " + ", ".join(r.node for r in on_cycle))

@@ -83,7 +83,9 @@ def test_ancestor_order_is_nearest_last():
     assert ontology.ancestor_order({"D": ["B", "C"], "B": ["E"], "C": ["A"]}, "D") == ["E", "B", "A", "C"]
 
 
-def test_closure_of_chains_diamonds_and_cycles(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_closure_of_chains_diamonds_and_cycles(spark, monkeypatch, few):
+    monkeypatch.setattr(closure, "FEW", few)
     chain = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}") for k in range(99)], "child string, parent string")
     known = closure.closure(chain)
     assert known.count() == 99 * 100 // 2 and known.where("child = 'n000'").agg(F.max("hi")).first()[0] == 99
