@@ -32,7 +32,7 @@ def test_queries(spark, duck):
 
     for name, run in QUERIES.items():
         got = run(spark, SF).toPandas()
-        assert len(got), name
+        assert len(got) or name in SQL, name  # a page beyond the smallest table is empty
         if name in SQL:
             want = duck.execute(SQL[name]).df()
             assert sorted(got.columns) == sorted(want.columns), name
