@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ontoweave.llm import common
 from ontoweave.llm.decontaminate import decontaminate
 from ontoweave.llm.line_dedup import without_repeats
+from ontoweave.llm.near_duplicates import keep_one
 from ontoweave.llm.packing import pack
 from ontoweave.llm.queries import tokenizer_path
-from ontoweave.llm.simhash import keep_one
 from ontoweave.llm.toxicity import reject_toxic
 
 
@@ -27,7 +27,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked fingerprints."""
+    """One document of each class of documents that share 0.8 of their five-word shingles."""
     return keep_one(docs)
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ontoweave.llm import chat, decontaminate, licenses, line_dedup, packing, simhash, substring_dedup, token_files, tokens, topk, toxicity
+from ontoweave.llm import chat, decontaminate, licenses, line_dedup, near_duplicates, packing, simhash, substring_dedup, token_files, tokens, topk, toxicity
 from ontoweave.llm.queries import tokenizer_path
 
 NO_ID = (1 << 63) - 1
@@ -211,6 +211,61 @@ def test_decontaminate(spark, docs, rows, empty):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def _told(rng, n):
+    return [f"{rng.randrange(1 << 30):x}" for _ in range(n)]
+
+
+def test_near_duplicates_of_similarity(spark, docs, rows, empty):
+    rng = random.Random(31)
+    texts, k = [], 0
+    for n in (6, 9, 12, 30, 60, 200, 700):
+        for _ in range(4):
+            w = _told(rng, n)
+            texts.append((k, " ".join(w)))
+            for changed in {1, max(1, n // 60), max(1, n // 48), max(1, n // 40), max(1, n // 25)}:
+                copy = list(w)
+                for at in rng.sample(range(n), changed):
+                    copy[at] = "changed"
+                texts.append((k + changed, " ".join(copy).upper() + " "))
+                texts.append((k + 40 + changed, " ".join(w[: n - changed * 4])))
+            k += 100
+    hot = _told(rng, 60)
+    texts += [(k + j, " ".join(_told(rng, 40) + hot)) for j in range(30)]
+    texts += [(k + 100 + j, " ".join(hot[:j] + ["x"] + hot[j + 1 :])) for j in range(60)]
+    texts += [(0, "another text of the first id"), (0, texts[0][1]), (None, texts[0][1]), (None, "b"), *rows]
+
+    def shingles(t):
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+        w = (t or "").encode().translate(low).split()
+        return {tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} if w else set()
+
+    named = sorted({(i, t) for i, t in texts if i is not None}, key=repr)
+    sets = [shingles(t) for _, t in named]
+    group = list(range(len(named)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    far = 0
+    for a in range(len(named)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group[root(a)] = root(b)
+                far += (_brute_print(named[a][1]) ^ _brute_print(named[b][1])).bit_count() > 3
+    least = {}
+    for x, (i, _) in enumerate(named):
+        least[root(x)] = min(i, least.get(root(x), i))
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    kept = near_duplicates.keep_one(frame)
+    assert far > 100 and kept.columns == frame.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(least.values())
+    assert kept.where("doc_id is null").count() == sum(i is None for i, _ in texts)
+    assert near_duplicates.keep_one(docs).columns == docs.columns
+    assert near_duplicates.keep_one(empty).count() == 0
+
+
 def _ids(rows):
     from tokenizers import Tokenizer
 
