@@ -4,8 +4,9 @@ An item of n words is compared with windows of n words of a document.  Words are
 a text's features are its five-word shingles, weighted by how often they occur in the window.
 
 1. Shingles of documents are joined to those of the benchmark (a broadcast while Spark's size limit allows it, a sort-merge join
-   beyond).  A window of similarity s shares at least 2s/(1+s) of the item's shingles, so pairs of document and item with
-   fewer shared places are out without loss, and so are windows; a best window starts at a shared shingle.
+   beyond).  A window of similarity s shares at least s of the item's shingles (2s/(1+s) if it is of the item's size, but the
+   document's end may cut it short), so pairs of document and item with fewer shared places are out without loss, and so
+   are windows; a best window starts at a shared shingle.
 2. Windows of equal content are one.  Each gets a 64-bit SimHash, which is cut in 16 blocks of four bits: fingerprints within
    15 bits agree in a block, so the join on (size, block, bits) finds all items within the radius.
 3. Those within the radius are verified by the exact similarity: sum of the smaller weights over sum of the larger.
@@ -67,7 +68,7 @@ def similarity(a, b):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, item_id, start_word, similarity: the best window of every contaminated document and item."""
-    share = 2 * least / (1 + least) - 1e-9
+    share = least - 1e-9
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("w")).select("item_id", shingles(F.col("w")).alias("item"))
     items = items.where(F.size("item") > 0).withColumn("m", F.size("item"))
     keys = items.select("item_id", "m", F.explode(F.array_distinct("item")).alias("h"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -211,10 +212,32 @@ def test_decontaminate(spark, docs, rows, empty):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def _best_windows(texts, items, least=0.8):
+    """Similarity of the best item-sized window of every contaminated text and item, by looking at all windows."""
+    shingles = lambda t: [tuple(w[k : k + 5]) for w in [re.sub(r"[\W_]+", " ", t.lower()).split()] for k in range(len(w) - 4)]
+    found = {}
+    for i, t in texts:
+        s = shingles(t)
+        for j, item in items:
+            c = shingles(item)
+            for k in range(len(s)):
+                w = s[k : k + len(c)]
+                both = sum((Counter(w) & Counter(c)).values())
+                similar = both / (len(w) + len(c) - both)
+                if similar >= least:
+                    found[i, j] = max(found.get((i, j), 0), similar)
+    return found
+
+
 def _told(rng, n):
     return [f"{rng.randrange(1 << 30):x}" for _ in range(n)]
 
 
+def _contaminated_pairs(spark, texts, items):
+    frame, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(frame, bench).collect()}
+
+
 def test_near_duplicates_of_similarity(spark, docs, rows, empty):
     rng = random.Random(31)
     texts, k = [], 0
@@ -266,6 +289,21 @@ def test_near_duplicates_of_similarity(spark, docs, rows, empty):
     assert near_duplicates.keep_one(empty).count() == 0
 
 
+def test_items_cut_at_the_end_of_a_document(spark):
+    rng = random.Random(21)
+    items, texts = [], []
+    for k in range(8):
+        w = _told(rng, 40)
+        items.append((k, " ".join(w)))
+        for cut in (4, 5, 6, 7, 8):
+            texts.append((1000 * cut + k, " ".join(_told(rng, 20) + w[:-cut])))
+            texts.append((1000 * cut + 100 + k, " ".join(w[:-cut])))
+    want = _best_windows(texts, items)
+    got = _contaminated_pairs(spark, texts, items)
+    assert {i // 1000 for i, _ in want} == {4, 5, 6, 7}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
 def _ids(rows):
     from tokenizers import Tokenizer
 
