@@ -7,8 +7,10 @@ a text's features are its five-word shingles, weighted by how often they occur i
    beyond).  A window of similarity s shares at least s of the item's shingles (2s/(1+s) if it is of the item's size, but the
    document's end may cut it short), so pairs of document and item with fewer shared places are out without loss, and so
    are windows; a best window starts at a shared shingle.
-2. Windows of equal content are one.  Each gets a 64-bit SimHash, which is cut in 16 blocks of four bits: fingerprints within
-   15 bits agree in a block, so the join on (size, block, bits) finds all items within the radius.
+2. Windows of equal content are one.  Each gets a 64-bit SimHash, which is cut in 32 blocks of two bits: fingerprints within
+   31 bits agree in a block, so the join on (item, block, bits) finds all items within the radius.  A similar window differs
+   by 10 bits on average; the worst case is four of an item's five shingles (12 bits), where less than one in a million is
+   beyond 31.
 3. Those within the radius are verified by the exact similarity: sum of the smaller weights over sum of the larger.
 
 A document is contaminated by an item if some item-sized window is within the radius and has the similarity.  Long windows may
@@ -23,7 +25,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, BLOCKS = 5, 16
+SHINGLE, BLOCKS = 5, 32
 BLOCK_BITS = 64 // BLOCKS
 RADIUS = BLOCKS - 1
 
@@ -70,34 +72,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> D
     """doc_id, item_id, start_word, similarity: the best window of every contaminated document and item."""
     share = least - 1e-9
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("w")).select("item_id", shingles(F.col("w")).alias("item"))
-    items = items.where(F.size("item") > 0).withColumn("m", F.size("item"))
-    keys = items.select("item_id", "m", F.explode(F.array_distinct("item")).alias("h"))
+    items = items.where(F.size("item") > 0).withColumns({"m": F.size("item"), "c": F.xxhash64("item")})
+    keys = items.select("item_id", "c", "m", F.explode(F.array_distinct("item")).alias("h"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
     texts = texts.withColumn("t", F.xxhash64("text"))
     found = texts.select("doc_id", "t", F.posexplode(shingles(words(F.col("text")))).alias("p", "h")).join(keys, "h")
     need = F.ceil(F.col("m") * share).cast("int")
-    hits = found.groupBy("doc_id", "t", "item_id", "m").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("p")).alias("at")).where(F.size("at") >= need)
+    hits = found.groupBy("doc_id", "t", "item_id", "c", "m").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("p")).alias("at")).where(F.size("at") >= need)
     at = F.col("at")
     dense = F.filter(F.sequence(F.lit(1), F.size(at) - need + 1), lambda i: F.element_at(at, i + need - 1) < F.element_at(at, i) + F.col("m"))
-    starts = hits.select("doc_id", "t", "m", F.explode(F.transform(dense, lambda i: F.element_at(at, i))).alias("s")).distinct()
-    wanted = starts.groupBy("doc_id", "t").agg(F.collect_list(F.struct("m", "s")).alias("windows"))
+    starts = hits.select("doc_id", "t", "c", "m", F.explode(F.transform(dense, lambda i: F.element_at(at, i))).alias("s")).distinct()
+    wanted = starts.groupBy("doc_id", "t").agg(F.collect_list(F.struct("c", "m", "s")).alias("windows"))
     wanted = wanted.select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), "windows")
     again = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("t") == F.col("_t"))).select("doc_id", "t", shingles(words(F.col("text"))).alias("f"), "windows")
-    windows = again.select("doc_id", "t", F.inline(F.transform("windows", lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"), F.slice("f", x["s"] + 1, x["m"]).alias("window")))))
-    windows = windows.select("doc_id", "t", "m", "s", "window", F.xxhash64("window").alias("k1"), F.xxhash64(F.lit("second"), "window").alias("k2"))
-    contents = windows.groupBy("m", "k1", "k2").agg(F.any_value("window").alias("window")).withColumn("print", simhash(F.col("window")))
+    windows = again.select("doc_id", "t", F.inline(F.transform("windows", lambda x: F.struct(x["c"].alias("c"), x["m"].alias("m"), x["s"].alias("s"), F.slice("f", x["s"] + 1, x["m"]).alias("window")))))
+    windows = windows.select("doc_id", "t", "c", "m", "s", "window", F.xxhash64("window").alias("k1"), F.xxhash64(F.lit("second"), "window").alias("k2"))
+    contents = windows.groupBy("c", "m", "k1", "k2").agg(F.any_value("window").alias("window")).withColumn("print", simhash(F.col("window")))
 
     def blocks(df):
         block = [F.struct(F.lit(b).alias("block"), F.shiftrightunsigned("print", BLOCK_BITS * b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long")).alias("bits")) for b in range(BLOCKS)]
         return df.select("*", F.inline(F.array(*block)))
 
     left = blocks(contents)
-    right = blocks(items.withColumn("print", simhash(F.col("item"))).withColumnRenamed("print", "item_print").withColumn("print", F.col("item_print")).select("item_id", "m", "item", "item_print", "print")).drop("print")
-    near = left.join(right, ["m", "block", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    near = near.groupBy("m", "k1", "k2", "item_id").agg(F.any_value("window").alias("window"), F.any_value("item").alias("item"))
-    verified = near.select("m", "k1", "k2", "item_id", similarity(F.col("window"), F.col("item")).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+    right = blocks(items.withColumn("print", simhash(F.col("item"))).withColumnRenamed("print", "item_print").withColumn("print", F.col("item_print")).select("item_id", "c", "item", "item_print", "print")).drop("print")
+    near = left.join(right, ["c", "block", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    near = near.groupBy("c", "m", "k1", "k2", "item_id").agg(F.any_value("window").alias("window"), F.any_value("item").alias("item"))
+    verified = near.select("c", "m", "k1", "k2", "item_id", similarity(F.col("window"), F.col("item")).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
     best = F.struct(F.col("similarity"), -F.col("s"))
-    out = windows.drop("window").join(verified, ["m", "k1", "k2"]).groupBy("doc_id", "item_id").agg(F.max(best).alias("best"))
+    out = windows.drop("window").join(verified, ["c", "m", "k1", "k2"]).groupBy("doc_id", "item_id").agg(F.max(best).alias("best"))
     return out.select("doc_id", "item_id", (-F.col("best.col2")).cast("long").alias("start_word"), F.round(F.col("best.similarity"), 6).alias("similarity"))
 
 

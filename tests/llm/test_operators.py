@@ -304,6 +304,17 @@ def test_items_cut_at_the_end_of_a_document(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
 
+def test_similar_windows_of_distant_fingerprints(spark):
+    rng = random.Random(22)
+    items, texts = [], []
+    for k in range(600):
+        w = _told(rng, 9)
+        items.append((k, " ".join(w)))
+        texts.append((k, " ".join(w[:-1])))
+    got = _contaminated_pairs(spark, texts, items)
+    assert got == {(k, k): 0.8 for k in range(600)}
+
+
 def _ids(rows):
     from tokenizers import Tokenizer
 
