@@ -6,6 +6,9 @@ one place only are dropped.  The positions of the others are joined: a run of ``
 if the same lines occur at an earlier place of the corpus (smaller id, then earlier line).  A match is extended both ways as
 far as the runs around it, one line on, are repeats too; the lines of the later occurrence are deleted.
 
+Runs shorter than ``window`` are compared too where ``words`` is given (the pipeline's stage; the query has runs of three
+lines only, as its SQL): those of at least that many words, and whole documents, to whole documents.
+
 So a line goes if and only if some run of ``window`` consecutive lines that covers it also starts at an earlier place.  Lines
 are compared as they are, by two 64-bit hashes over a run; an empty line is a line.  All steps are partial aggregates and joins
 that split hot keys, so a passage in a third of all documents is no hot task.
@@ -26,7 +29,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__ow_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__ow_hash": F.xxhash64("text"), "__ow_lines": F.split("text", "\n")})
 
 
-def repeated_lines(docs: DataFrame, window: int = 3) -> DataFrame:
+def _short_repeats(docs: DataFrame, window: int, words: int) -> DataFrame:
+    """__ow_id, __ow_hash, s and n (place and lines) of later occurrences of runs of fewer lines than window."""
+    lines = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).where(F.col("text").isNotNull())
+    # a line of fewer than 2 * words - 1 characters has fewer words, but may be one of several in a run
+    counted = F.transform("__ow_lines", lambda x: F.regexp_count(x, F.lit(r"[^ \t\r\f\x0B]+")))
+    lines = lines.where((F.length("text") >= 2 * words - 1) | (F.size("__ow_lines") < window))
+    lines = lines.select("__ow_id", "__ow_hash", F.transform("__ow_lines", lambda x: F.xxhash64(x)).alias("h"), counted.alias("c"))
+
+    def runs(n):
+        places = F.when(F.size("h") >= n, F.sequence(F.lit(0), F.size("h") - n)).otherwise(F.array().cast("array<int>"))
+        long = F.filter(places, lambda s: sum((F.element_at("c", s + k + 1) for k in range(n)), F.lit(0)) >= words)
+        return F.transform(long, lambda s: F.struct(s.alias("s"), F.lit(n).alias("n"), F.lit(False).alias("whole"), F.slice("h", s + 1, n).alias("run")))
+
+    copy = F.struct(F.lit(0).alias("s"), F.size("h").alias("n"), F.lit(True).alias("whole"), F.col("h").alias("run"))
+    has = (F.size("h") < window) & F.exists("c", lambda x: x > 0)
+    whole = F.when(has, F.array(copy)).otherwise(F.slice(F.array(copy), 1, 0))
+    placed = lines.select("__ow_id", "__ow_hash", F.inline(F.concat(*(runs(n) for n in range(1, window)), whole)))
+    at = F.struct("__ow_id", "__ow_hash", "s").alias("at")
+    placed = placed.select("n", F.xxhash64("whole", "run").alias("r1"), F.xxhash64(F.lit("second"), "whole", "run").alias("r2"), at)
+    first = placed.groupBy("r1", "r2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("r1", "r2", "first")
+    return placed.join(first, ["r1", "r2"]).where("at > first").select("at.*", "n")
+
+
+def repeated_lines(docs: DataFrame, window: int = 3, words: int | None = None) -> DataFrame:
     """__ow_id, __ow_hash and __ow_gone (sorted places of lines to delete) of documents that have some."""
     lines = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).where(F.size("__ow_lines") >= window)
     hashes = F.transform("__ow_lines", lambda x: F.xxhash64(x))
@@ -40,15 +66,18 @@ def repeated_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     matched = placed.join(common, "fingerprint").select("r1", "r2", F.struct("__ow_id", "__ow_hash", "s").alias("at"))
     first = matched.groupBy("r1", "r2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("r1", "r2", "first")
     later = matched.join(first, ["r1", "r2"]).where("at > first").select("at.*")
-    starts = later.groupBy("__ow_id", "__ow_hash").agg(F.collect_set("s").alias("starts"))
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + window - 1)))))
+    later = later.withColumn("n", F.lit(window))
+    if words is not None:
+        later = later.unionByName(_short_repeats(docs, window, words))
+    starts = later.groupBy("__ow_id", "__ow_hash").agg(F.collect_set(F.struct("s", "n")).alias("starts"))
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1)))))
     return starts.select("__ow_id", "__ow_hash", gone.alias("__ow_gone"))
 
 
-def _deduped(docs: DataFrame, window: int) -> DataFrame:
+def _deduped(docs: DataFrame, window: int, words: int | None = None) -> DataFrame:
     """docs with text without its repeated lines, and columns __ow_n_lines and __ow_n_removed."""
     marked = _keyed(docs.withColumn("text", F.col("text").cast("string"))).drop("__ow_lines")
-    joined = marked.join(repeated_lines(docs, window), ["__ow_id", "__ow_hash"], "left")
+    joined = marked.join(repeated_lines(docs, window, words), ["__ow_id", "__ow_hash"], "left")
     lines = F.split("text", "\n")
     # the lines between deleted ones: from behind one deleted line to before the next
     edges = F.concat(F.array(F.lit(-1)), F.col("__ow_gone"), F.array(F.size(lines)))
@@ -65,9 +94,9 @@ def line_dedup(docs: DataFrame, window: int = 3) -> DataFrame:
     return out.drop("n_lines", "n_removed").withColumnsRenamed({"__ow_n_lines": "n_lines", "__ow_n_removed": "n_removed"})
 
 
-def without_repeats(docs: DataFrame, window: int = 3) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 3, words: int | None = 50) -> DataFrame:
     """docs, with its columns: text without repeated lines, n_chars (if there) to match, and no document that was all repeats."""
-    kept = _deduped(docs, window).where("__ow_n_removed = 0 or __ow_n_removed < __ow_n_lines")
+    kept = _deduped(docs, window, words).where("__ow_n_removed = 0 or __ow_n_removed < __ow_n_lines")
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("__ow_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

@@ -315,6 +315,17 @@ def test_similar_windows_of_distant_fingerprints(spark):
     assert got == {(k, k): 0.8 for k in range(600)}
 
 
+def test_repeats_of_fewer_lines_than_the_window(spark):
+    rng = random.Random(24)
+    say = lambda n: " ".join(_told(rng, n))
+    one, half, rest, short = say(50), say(25), say(30), say(49)
+    texts = [(1, one), (2, one), (3, f"x\n{one}\ny\nz"), (4, f"{half}\n{rest}"), (5, f"a\n{half}\n{rest}\nb"), (6, f"{half}\nc"), (7, short), (8, f"{short}\nd"), (9, short), (10, f"{one}\n{one}"), (10, f"{one}\n{one}"), (None, f"e\n{one}"), (11, ""), (12, ""), (13, None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = _count(line_dedup.without_repeats(frame).collect())
+    assert got == _count([(1, one), (3, "x\ny\nz"), (4, f"{half}\n{rest}"), (5, "a\nb"), (6, f"{half}\nc"), (7, short), (8, f"{short}\nd"), (None, "e"), (11, ""), (12, ""), (13, None)])
+    assert _count(line_dedup.without_repeats(frame, words=None).collect()) == _count(texts)
+
+
 def _ids(rows):
     from tokenizers import Tokenizer
 
