@@ -68,8 +68,8 @@ def similarity(a, b):
     return both / (F.size(a) + F.size(b) - both)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id, item_id, start_word, similarity: the best window of every contaminated document and item."""
+def _contaminated(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
+    """doc_id, t (hash of the text), item_id and best (similarity, minus the start) of every contaminated text and item."""
     share = least - 1e-9
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("w")).select("item_id", shingles(F.col("w")).alias("item"))
     items = items.where(F.size("item") > 0).withColumns({"m": F.size("item"), "c": F.xxhash64("item")})
@@ -99,11 +99,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> D
     near = near.groupBy("c", "m", "k1", "k2", "item_id").agg(F.any_value("window").alias("window"), F.any_value("item").alias("item"))
     verified = near.select("c", "m", "k1", "k2", "item_id", similarity(F.col("window"), F.col("item")).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
     best = F.struct(F.col("similarity"), -F.col("s"))
-    out = windows.drop("window").join(verified, ["c", "m", "k1", "k2"]).groupBy("doc_id", "item_id").agg(F.max(best).alias("best"))
+    return windows.drop("window").join(verified, ["c", "m", "k1", "k2"]).groupBy("doc_id", "t", "item_id").agg(F.max(best).alias("best"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, item_id, start_word, similarity: the best window of every contaminated document and item."""
+    out = _contaminated(docs, benchmark, least).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
     return out.select("doc_id", "item_id", (-F.col("best.col2")).cast("long").alias("start_word"), F.round(F.col("best.similarity"), 6).alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
-    """docs without contaminated documents."""
-    bad = contaminated(docs, benchmark, least).select(F.col("doc_id").alias("__ow_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__ow_bad")), "left_anti")
+    """docs without contaminated documents; those of one id, or of none, are told apart by their texts."""
+    bad = _contaminated(docs, benchmark, least).select(F.col("doc_id").alias("__ow_bad"), F.col("t").alias("__ow_t")).distinct()
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("__ow_bad")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__ow_t"))
+    return docs.join(bad, here, "left_anti")

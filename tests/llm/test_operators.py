@@ -315,6 +315,16 @@ def test_similar_windows_of_distant_fingerprints(spark):
     assert got == {(k, k): 0.8 for k in range(600)}
 
 
+def test_clean_texts_of_a_contaminated_id_stay(spark):
+    rng = random.Random(23)
+    item = " ".join(_told(rng, 20))
+    texts = [(None, item), (None, "a clean text"), (1, f"so {item}"), (1, "another clean text"), (2, "clean")]
+    frame, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(0, item), (None, item)], "item_id long, text string")
+    left = decontaminate.decontaminate(frame, bench).collect()
+    assert _count(left) == _count([x for x in texts if item not in x[1]])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench).collect()} == {(i, j) for i in (None, 1) for j in (0, None)}
+
+
 def test_repeats_of_fewer_lines_than_the_window(spark):
     rng = random.Random(24)
     say = lambda n: " ".join(_told(rng, n))
