@@ -20,9 +20,11 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests, local mode only) a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ontoweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -74,7 +76,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     column = pc.fill_null(column, "") if column.null_count else column
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     if not len(column):
         return np.zeros(1, np.int64), np.zeros(0, np.uint8)
     bufs = column.buffers()
@@ -126,37 +128,47 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Rolling:
-    """Polynomial hashes modulo 2**64 of any span of a sequence, from one prefix sum."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            for name, r in (("up", self.base), ("down", self.inverse)):
-                x = np.full(n, r, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x, dtype=np.uint64))
-
-    def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(values) + 1
-        self._powers(n)
-        total = np.zeros(n, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * self.up[: n - 1], out=total[1:])
-        return mix((total[ends] - total[starts]) * self.down[starts])
-
-    def windows(self, values: np.ndarray, size: int) -> np.ndarray:
-        if len(values) < size:
-            return np.zeros(0, np.uint64)
-        starts = np.arange(len(values) - size + 1)
-        return self.spans(values, starts, starts + size)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word of data: its bytes by eights, each mixed into the hash so far."""
+    size = ends - starts
+    h = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (seed + 1) % (1 << 64)))
+    if not len(starts):
+        return h
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the eight bytes at every place
+    active, done = np.arange(len(starts)), 0
+    while len(active):
+        left = size[active] - done
+        chunk = eights[starts[active] + done]
+        short = left < 8
+        if short.any():
+            chunk = np.where(short, chunk & ((np.uint64(1) << (np.uint64(8) * np.minimum(left, 7).astype(np.uint64))) - np.uint64(1)), chunk)
+        h[active] = mix(h[active] * np.uint64(0xD6E8FEB86659FD93) + chunk)
+        done += 8
+        active = active[left > 8]
+    return h
 
 
-#: The bases are arbitrary odd numbers.
-BYTES, WORDS, WORDS_TOO = Rolling(0x9E3779B97F4A7C15), Rolling(0xD6E8FEB86659FD93), Rolling(0xA0761D6478BD642F)
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of size words (hashes), by doubling."""
+
+    def joined(a, b):
+        return mix(a * np.uint64(0xA0761D6478BD642F) + (b ^ (b >> np.uint64(31))) * np.uint64(0xE7037ED1A0B428DB))
+
+    if len(words) < size:
+        return np.zeros(0, np.uint64)
+    out, have, power, n = None, 0, words, 1
+    while True:
+        if size & n:
+            if out is None:
+                out = power
+            else:
+                k = len(words) - have - n + 1
+                out = joined(out[:k], power[have : have + k])
+            have += n
+        if have == size:
+            return out[: len(words) - size + 1]
+        power, n = joined(power[:-n], power[n:]), 2 * n
 
 
 def crc32_column(name: str):

@@ -19,12 +19,14 @@ of one id that differ are compared like others.  The kept document of a class ha
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, LOWER, WORDS, WORDS_TOO, steps, utf8, word_spans, written
+from .common import LOWER, run_hashes, steps, utf8, word_hashes, word_spans, written
 from .simhash import components
 
 SHINGLE = 5
@@ -38,14 +40,15 @@ def needed(n):
 def _sets(data: np.ndarray, offsets: np.ndarray):
     """(content hash, sorted distinct shingle hashes) of each row."""
     first, starts, ends = word_spans(data, offsets)
-    w = BYTES.spans(data, starts, ends)
-    contents = WORDS_TOO.spans(w, first[:-1], first[1:])
-    runs = WORDS.windows(w, SHINGLE)
-    for r, (a, z) in enumerate(zip(first.tolist(), first[1:].tolist(), strict=False)):
+    w = word_hashes(data, starts, ends)
+    runs = run_hashes(w, SHINGLE)
+    for a, z in zip(first.tolist(), first[1:].tolist(), strict=False):
+        words = w[a:z]
+        content = int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little")
         if z - a >= SHINGLE:
-            yield contents[r], np.unique(runs[a : z - SHINGLE + 1])
+            yield content, np.unique(runs[a : z - SHINGLE + 1])
         else:
-            yield contents[r], WORDS.spans(w, np.arange(a, z)[:1], np.arange(a, z)[-1:] + 1)
+            yield content, run_hashes(words, z - a) if z > a else words
 
 
 def _hashed(whole: bool):

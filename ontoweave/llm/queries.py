@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, line_dedup
 from .decontaminate import contaminated
 from .licenses import license_scan
+from .licenses import oracle_sql as license_sql
 from .packing import pack
 from .simhash import simhash_classes
 from .substring_dedup import substring_dedup
@@ -95,6 +96,7 @@ SQL: dict[str, str] = {
             sha256(coalesce(array_to_string(CASE WHEN g IS NULL THEN w ELSE
                 list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(g, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256
         FROM d LEFT JOIN gone_of USING (doc_id)""",
+    "op6_license_scan": license_sql(),
     "op7_line_dedup": r"""
         WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
         starts AS (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS s FROM d WHERE len(l) >= 3),

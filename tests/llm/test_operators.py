@@ -51,27 +51,63 @@ def _count(got):
     return sorted(map(tuple, got), key=repr)
 
 
-def test_substring_dedup(docs, rows, empty):
+def _without_repeats(rows, window=50):
+    """Rows of substring_dedup, by looking at all windows."""
     first = {}
     for i, t in sorted(rows, key=lambda r: NO_ID if r[0] is None else r[0]):
         w = (t or "").encode().split()
-        for k in range(len(w) - 49):
-            first.setdefault(tuple(w[k : k + 50]), NO_ID if i is None else i)
+        for k in range(len(w) - window + 1):
+            first.setdefault(tuple(w[k : k + window]), NO_ID if i is None else i)
     want = []
     for i, t in rows:
         w = (t or "").encode().split()
         gone = [False] * len(w)
-        for k in range(len(w) - 49):
-            if first[tuple(w[k : k + 50])] < (NO_ID if i is None else i):
-                gone[k : k + 50] = [True] * 50
+        for k in range(len(w) - window + 1):
+            if first[tuple(w[k : k + window])] < (NO_ID if i is None else i):
+                gone[k : k + window] = [True] * window
         want.append((i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()))
+    return want
+
+
+@pytest.mark.parametrize("limit", [substring_dedup.LIMIT, 3])
+def test_substring_dedup(docs, rows, empty, limit):
+    want = _without_repeats(rows)
     assert any(x[2] for x in want)
-    assert _count(substring_dedup.substring_dedup(docs).collect()) == _count(want)
-    spans = substring_dedup.substring_dedup(docs, spans=True).where("doc_id = 2").first()
+    assert _count(substring_dedup.substring_dedup(docs, limit=limit).collect()) == _count(want)
+    spans = substring_dedup.substring_dedup(docs, spans=True, limit=limit).where("doc_id = 2").first()
     assert spans.removed_spans == [[0, 70]] and spans.kept == ""
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [substring_dedup.LIMIT, 0])
+def test_substrings_of_few_words_and_of_long_texts(spark, limit):
+    rng = random.Random(41)
+    few = lambda n: " ".join(rng.choice(("a", "b", "abcdefghi", "abcdefgh")) for _ in range(n))
+    runs = [few(60), "x " * 70, "x y " * 40, " ".join(_told(rng, 20))]
+    rows = [(k, " ".join(rng.choice([few(rng.randint(1, 40)), rng.choice(runs)]) for _ in range(4))) for k in range(40)]
+    say = " ".join(_told(rng, 300))
+    long = [" ".join(_told(rng, 170_000)) for _ in range(2)]  # over a step, and all of them over a batch
+    rows += [(100, f"{long[0]} {say}"), (101, f"{say}\n{long[1]} {say[: len(say) // 2]}"), (102, long[0][-2000:]), (99, say[:700])]
+    odd = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))  # its polynomial hash is that of its complement
+    rows += [(200, "so " * 49 + odd), (201, "so " * 49 + odd.translate(str.maketrans("ab", "ba")))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring_dedup.substring_dedup(frame, limit=limit)
+    assert _count(got.collect()) == _count(_without_repeats(rows))
+
+
+def test_trees_have_nodes_of_all_depths():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 3, (300, 12))
+    order, common = substring_dedup.sorted_suffixes(rows)
+    assert sorted(map(tuple, rows)) == [tuple(r) for r in rows[order]]
+    for depth in (1, 5, 12):
+        node = substring_dedup._nodes(order, common, depth)
+        groups = {}
+        for r, x in zip(rows[:, :depth].tolist(), node.tolist(), strict=True):
+            groups.setdefault(x, set()).add(tuple(r))
+        assert all(len(x) == 1 for x in groups.values()) and len(groups) == len({tuple(r) for r in rows[:, :depth].tolist()})
+
+
 def test_line_dedup(docs, rows, empty):
     def place(i, t, k):
         return (NO_ID if i is None else i, t, k)
@@ -378,10 +414,42 @@ def test_packing(docs, rows, empty, spark):
     assert waste <= 64 * 4
     assert packing.pack(empty, tokenizer_path()).count() == 0
     few = spark.createDataFrame([(1, "one two three"), (2, "four")], "doc_id long, text string")
-    seqs = packing.sequences(few, packing.pack(few, tokenizer_path(), size=16), tokenizer_path(), size=16).collect()
+    seqs = packing.sequences(few, tokenizer_path(), size=16).collect()
     assert sum(r.n_tokens for r in seqs) == 4 + 2 and all(len(r.input_ids) in (1, 2, 4, 8, 16) for r in seqs)
 
 
+def test_packed_sequences_hold_all_documents(spark):
+    rng = random.Random(6)
+    few = [(1, "one two three"), (1, "one two three"), (1, "another text"), (None, "no id"), (None, "no id"), (None, None), (2, ""), (3, " ".join(_told(rng, 30)))]
+    frame = spark.createDataFrame(few, "doc_id long, text string").repartition(3)
+    seqs = packing.sequences(frame, tokenizer_path(), size=16).collect()
+    want = sorted(i for x in _ids(few) for i in x)
+    assert sorted(i for r in seqs for i in r.input_ids[: r.n_tokens]) == want
+    assert all(len(r.input_ids) in (1, 2, 4, 8, 16) and set(r.input_ids[r.n_tokens :]) <= {0} for r in seqs)
+    assert packing.sequences(frame.limit(0), tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("lengths", [[700], [513], [1023], [5000], [1, 700, 900], "mixed"])
+def test_patterns_leave_little_padding(lengths):
+    rng = np.random.default_rng(8)
+    n = np.concatenate([rng.integers(1, 3000, 3000), rng.integers(500, 1024, 1000), rng.integers(1, 60, 1500)]) if lengths == "mixed" else np.resize(lengths, 4000)
+    row, start, length = packing.cut(n, 1024, np.zeros(1025, np.int64))
+    for i in range(0, len(n), 37):
+        mine = row == i
+        assert start[mine].tolist() == (np.cumsum(length[mine]) - length[mine]).tolist() and length[mine].sum() == n[i] and length[mine].max() <= 1024
+    slots = packing.plan(dict(Counter(length.tolist())), 1024)
+    fill, placed = {}, Counter()
+    for size, _, each, offset, first, times in slots:
+        placed[size] += each * times
+        for s in range(first, first + times):
+            fill.setdefault(s, []).append((offset, each * size))
+    assert placed == Counter(length.tolist())
+    for parts in fill.values():
+        ends = np.cumsum([0, *(k for _, k in sorted(parts))])
+        assert [o for o, _ in sorted(parts)] == ends[:-1].tolist() and ends[-1] <= 1024
+    assert len(fill) * 1024 <= 1.005 * n.sum() + 1024
+
+
 def test_column_generation_reaches_the_bound():
     lengths, demand = np.array([3, 5, 7]), np.array([40.0, 30, 20])
     patterns, amounts = packing.column_generation(lengths, demand, 15)
