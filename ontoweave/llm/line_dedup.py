@@ -1,17 +1,18 @@
 """Line dedup by winnowing over line hashes.
 
 Every run of ``window`` lines selects the least of its line hashes (the leftmost of equals) as fingerprint, so two texts that
-share ``window`` consecutive lines are guaranteed to share a fingerprint at the same place of the run.  Fingerprints found at
-one place only are dropped.  The positions of the others are joined: a run of ``window`` lines around a fingerprint is a repeat
-if the same lines occur at an earlier place of the corpus (smaller id, then earlier line).  A match is extended both ways as
-far as the runs around it, one line on, are repeats too; the lines of the later occurrence are deleted.
+share ``window`` consecutive lines are guaranteed to share a fingerprint at the same place of the run.  Only selected lines are
+kept, about half of them, each with the lines around it; those whose fingerprint is found at one place only are dropped.  The places of
+the others are joined: a match of two fingerprints is extended line by line both ways, up to the runs that select the
+line, and counts if the extended lines are the same at an earlier place of the corpus (smaller id, then earlier line).  Runs that
+follow each other extend the match further; the lines of the later occurrence are deleted.
 
 Runs shorter than ``window`` are compared too where ``words`` is given (the pipeline's stage; the query has runs of three
 lines only, as its SQL): those of at least that many words, and whole documents, to whole documents.
 
 So a line goes if and only if some run of ``window`` consecutive lines that covers it also starts at an earlier place.  Lines
 are compared as they are, by two 64-bit hashes over a run; an empty line is a line.  All steps are partial aggregates and joins
-that split hot keys, so a passage in a third of all documents is no hot task.
+of written tables, which adaptive execution splits at hot keys, so a passage in a third of all documents is no hot task.
 
 Nulls: a null text has no lines and stays null; a null id counts as larger than all others.  Rows of one id and one text
 are one place, so they delete nothing from each other.  Other columns are untouched.
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID
+from .common import NO_ID, written
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -52,21 +53,44 @@ def _short_repeats(docs: DataFrame, window: int, words: int) -> DataFrame:
     return placed.join(first, ["r1", "r2"]).where("at > first").select("at.*", "n")
 
 
+def _positions(docs: DataFrame, window: int) -> DataFrame:
+    """__ow_id, __ow_hash, at, fingerprint and near (its lines and window - 1 more on either side, null beyond the text) of selected lines."""
+    lines = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).where(F.size("__ow_lines") >= window)
+    lines = lines.select("__ow_id", "__ow_hash", F.transform("__ow_lines", lambda x: F.xxhash64(x)).alias("h"))
+
+    def selected(s):
+        run = F.slice("h", s + 1, window)
+        return (s + F.array_position(run, F.array_min(run)) - 1).cast("int")
+
+    places = lines.select("__ow_id", "__ow_hash", "h", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - window), selected))).alias("at"))
+    near = F.array(*(F.get("h", F.col("at") + k) for k in range(1 - window, window)))
+    return places.select("__ow_id", "__ow_hash", "at", F.get("h", F.col("at")).alias("fingerprint"), near.alias("near"))
+
+
+def _extended(window: int):
+    """The runs that a selected line's match can be extended to: those in whose window it is the leftmost least."""
+    near, runs = lambda k: F.get("near", F.lit(window - 1 + k)), []
+    for o in range(window):  # lines of the run before the selected one
+        least = [near(k) > F.col("fingerprint") for k in range(-o, 0)] + [near(k) >= F.col("fingerprint") for k in range(1, window - o)]
+        good = F.lit(True)
+        for x in least:
+            good = good & F.coalesce(x, F.lit(False))
+        run = [near(k) for k in range(-o, window - o)]
+        runs.append(F.struct(good.alias("good"), (F.col("at") - o).alias("s"), F.xxhash64(*run).alias("r1"), F.xxhash64(F.lit("second"), *run).alias("r2")))
+    return F.filter(F.array(*runs), lambda x: x["good"])
+
+
 def repeated_lines(docs: DataFrame, window: int = 3, words: int | None = None) -> DataFrame:
     """__ow_id, __ow_hash and __ow_gone (sorted places of lines to delete) of documents that have some."""
-    lines = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).where(F.size("__ow_lines") >= window)
-    hashes = F.transform("__ow_lines", lambda x: F.xxhash64(x))
-    runs = F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda s: F.struct(s.alias("s"), F.slice("h", s + 1, window).alias("run")))
-    placed = lines.select("__ow_id", "__ow_hash", hashes.alias("h")).select("__ow_id", "__ow_hash", F.inline(runs))
-    least = F.array_min("run")
-    parts = [F.col("run")[i] for i in range(window)]
-    place = F.struct("__ow_id", "__ow_hash", (F.col("s") + F.array_position("run", least) - 1).alias("at"))
-    placed = placed.select("__ow_id", "__ow_hash", "s", least.alias("fingerprint"), place.alias("place"), F.xxhash64(*parts).alias("r1"), F.xxhash64(F.lit("second"), *parts).alias("r2"))
-    common = placed.groupBy("fingerprint").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("fingerprint")
-    matched = placed.join(common, "fingerprint").select("r1", "r2", F.struct("__ow_id", "__ow_hash", "s").alias("at"))
+    positions = written(_positions(docs, window), "line-positions")
+    place = F.struct("__ow_id", "__ow_hash", "at").alias("place")
+    common = positions.groupBy("fingerprint").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("fingerprint")
+    # written, so that either side of a join is an exchange of its own, which adaptive execution can split at a hot key
+    joined = positions.join(written(common, "line-fingerprints"), "fingerprint")
+    matched = joined.select("__ow_id", "__ow_hash", F.inline(_extended(window))).select("r1", "r2", F.struct("__ow_id", "__ow_hash", "s").alias("at"))
+    matched = written(matched, "line-matches")
     first = matched.groupBy("r1", "r2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("r1", "r2", "first")
-    later = matched.join(first, ["r1", "r2"]).where("at > first").select("at.*")
-    later = later.withColumn("n", F.lit(window))
+    later = matched.join(written(first, "first-lines"), ["r1", "r2"]).where("at > first").select("at.*", F.lit(window).alias("n"))
     if words is not None:
         later = later.unionByName(_short_repeats(docs, window, words))
     starts = later.groupBy("__ow_id", "__ow_hash").agg(F.collect_set(F.struct("s", "n")).alias("starts"))
