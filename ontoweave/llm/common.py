@@ -171,5 +171,25 @@ def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
         power, n = joined(power[:-n], power[n:]), 2 * n
 
 
+def whole_runs(batches, key: str):
+    """Tables that end with whole runs of equal keys; the rest is carried on."""
+    rest: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, table = batch.column(key).to_numpy(), pa.Table.from_batches([batch])
+        other = np.flatnonzero(x != x[-1])
+        if len(other):
+            cut = int(other[-1]) + 1
+            yield pa.concat_tables([*rest, table.slice(0, cut)])
+            rest, table = [], table.slice(cut)
+        elif rest and rest[-1].column(key)[-1].as_py() != x[-1]:
+            yield pa.concat_tables(rest)
+            rest = []
+        rest.append(table)
+    if rest:
+        yield pa.concat_tables(rest)
+
+
 def crc32_column(name: str):
     return F.crc32(F.col(name).cast("string").cast("binary"))

@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, in_batches, run_hashes, steps, utf8, word_hashes, word_spans, written
+from .common import NO_ID, in_batches, run_hashes, steps, utf8, whole_runs, word_hashes, word_spans, written
 
 GRAM = 16
 #: Suffixes of one prefix that a task sorts together; more are told apart by whole windows.
@@ -134,32 +134,11 @@ def _anchors(window: int):
     return run
 
 
-def _runs(batches, key: str):
-    """Batches that end with whole runs of equal keys; the rest is carried on."""
-    rest: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, table = batch.column(key).to_numpy(), pa.Table.from_batches([batch])
-        other = np.flatnonzero(x != x[-1])
-        if len(other):
-            cut = int(other[-1]) + 1
-            yield pa.concat_tables([*rest, table.slice(0, cut)])
-            rest = []
-            table = table.slice(cut)
-        elif rest and rest[-1].column(key)[-1].as_py() != x[-1]:
-            yield pa.concat_tables(rest)
-            rest = []
-        rest.append(table)
-    if rest:
-        yield pa.concat_tables(rest)
-
-
 def _shared_keys(limit: int):
     """Keys that documents of different ids hold, for each batch that has them; many if they have over limit suffixes."""
 
     def run(batches):
-        for t in _runs(batches, "key"):
+        for t in whole_runs(batches, "key"):
             key, lo, hi, n = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "n"))
             new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(new, len(key)))
@@ -245,7 +224,7 @@ def _trees(window: int):
     """Repeated windows of every leaf, as ranges first to end of its windows with one owner."""
 
     def run(batches):
-        for t in _runs(batches, "key"):
+        for t in whole_runs(batches, "key"):
             offsets, data = utf8(t.column("words").cast(pa.large_binary()))
             rows, starts, ends = word_spans(data, offsets)
             size = ends - starts

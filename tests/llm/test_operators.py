@@ -204,6 +204,28 @@ def test_links_of_long_lists_are_those_of_all_pairs():
         assert len({got[j] for j in near}) == 1
 
 
+def test_links_by_flipped_bits_are_those_of_all_pairs(monkeypatch):
+    rng = np.random.default_rng(5)
+    fps = np.unique(rng.integers(0, 1 << 20, 400, dtype=np.uint64))
+    want = {(int(a), int(b)) for a in fps for b in fps if a < b and int(a ^ b).bit_count() <= 3}
+    out = []
+    simhash._links_by_flips(fps, (0, 1, 2), out)
+    assert {p for u, v in out for p in zip(u.tolist(), v.tolist(), strict=True)} == want
+    monkeypatch.setattr(simhash, "VERY_LONG_LIST", 10)
+    out = []
+    simhash._links(fps, (0, 1, 2), out)
+    assert {p for u, v in out for p in zip(u.tolist(), v.tolist(), strict=True)} == want
+
+
+def test_other_texts_of_one_id_are_kept(spark):
+    rng = random.Random(77)
+    a, b = (" ".join(_told(rng, 40)) for _ in range(2))
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, b), (None, a), (4, None), (5, ""), (6, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for keep in (simhash.keep_one, near_duplicates.keep_one):
+        assert _count(keep(frame).collect()) == _count([(1, a), (1, b), (None, a), (4, None), (6, "x")])
+
+
 def test_components_of_chains_and_hubs(spark):
     pairs = [(k, k + 1) for k in range(50)] + [(100, 200 + k) for k in range(30)] + [(7, 7)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
