@@ -1,20 +1,26 @@
-"""Near-duplicate documents by an inverted index of shingles with count filtering; exact, so no similar pair is missed.
+"""SimHash near-dedup of documents by verified similarity: the pipeline's form of the SimHash operator.
 
 Words are runs of other than ASCII white space, in lower case (ASCII); a text's set is that of its five-word shingles, and of the
 whole text if it has one to four words.  Two texts are linked if the sets' Jaccard similarity is at least 0.8 (texts of equal
 words always), and classes are the connected components.
 
-1. Texts of equal words are one content.  Of a set of n shingles only the least n - ceil(0.8 n) + l(n) hashes are indexed, with
-   l(n) = max(1, n // 10): the common part of two similar sets has at least 0.8 of either, so its least l hashes are in both
-   selections.  The smaller of two similar sets has at least ceil(0.8 n), so each set shares q = l(ceil(0.8 n)) selected
-   hashes or has no similar one.
-2. Hashes of one content only are dropped, then contents with fewer than q others.  Of c shared hashes the c - q + 1 rarest are
-   kept: under the one order by frequency and hash, similar sets still meet in one.
-3. In each posting list all contents are compared with the least one, and then those of different components with each other, so
-   a large group of copies is not compared pair by pair.  Comparisons are of whole sets.
-
-Rows without an id cannot be named as the kept one, so all of them stay.  Rows of one id and one text are one document; texts
-of one id that differ are compared like others.  The kept document of a class has the smallest id.
+1. Texts of equal words are one content.  The byte-position index of ``simhash`` links contents whose fingerprints (of five-word
+   shingles) are within its radius; each link is verified on the whole sets.
+2. Sets of similarity 0.8 have fingerprints that differ in about ten bits of 64, so they need not share any byte: no count of shared bytes
+   guarantees them.  An inverted index of shingles with count filtering finds the links that the fingerprints miss, all of them.
+   Of a set of n shingles only the least n - ceil(0.8 n) + l(n) hashes are indexed, with l(n) = max(1, n // 10): the common part of two
+   similar sets has at least 0.8 of either, so its least l hashes are in both selections.  The smaller of two similar sets has at
+   least ceil(0.8 n), so each set shares q = l(ceil(0.8 n)) selected hashes or has no similar one.  Hashes of one content only
+   are dropped, then contents with fewer than q others.  Of c shared hashes the c - q + 1 rarest are kept: under the one order by
+   frequency and hash, similar sets still meet in one.
+3. In each posting list all contents are compared with the least one, so a large group of copies is not compared pair by pair.
+4. Contents of lists that still hold several components are indexed once more by whole sets: of n shingles the n - ceil(0.8 n) + 1 rarest,
+   in which two similar sets must meet.  A passage that many unlike texts share is not rare in any text that has a fifth of its own, so
+   it makes no list there.  Pairs of different components in these lists are compared.
+
+Comparisons are of whole sets of 64-bit shingle hashes.  Rows without an id cannot be named as the kept one, so all of them stay.  Rows
+of one id and one text are one document; texts of one id that differ are compared like others.  The kept document of a class has the
+smallest id.  Null and empty texts are one content.  Other columns are untouched.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, run_hashes, steps, utf8, word_hashes, word_spans, written
 from .simhash import components
+from .simhash import links as fingerprint_links
 
 SHINGLE = 5
 
@@ -51,28 +58,36 @@ def _sets(data: np.ndarray, offsets: np.ndarray):
             yield content, run_hashes(words, z - a) if z > a else words
 
 
+def _fingerprint(hashes: np.ndarray) -> int:
+    """64 bits: bit k is set if over half of the hashes have it."""
+    ones = sum(np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(0, len(hashes), 8192))
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little") if len(hashes) else 0
+
+
 def _hashed(whole: bool):
     def run(batches):
         for batch in batches:
             offsets, data = utf8(batch.column("text"))
             for i, j in steps(offsets):
                 part = slice(offsets[i], offsets[j])
-                contents, sizes, sets = [], [], []
+                contents, sizes, sets, prints = [], [], [], []
                 for content, s in _sets(LOWER[data[part]], offsets[i : j + 1] - offsets[i]):
                     n = len(s)
                     contents.append(content)
                     sizes.append(n)
+                    prints.append(_fingerprint(s))
                     sets.append(s if whole else s[: n - needed(n) + max(1, n // 10)])
                 ends = np.cumsum([0, *map(len, sets)])
                 hashes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).astype(np.uint64).view(np.int64)))
                 content = pa.array(np.array(contents, np.uint64).view(np.int64))
-                columns = [batch.column("doc_id").slice(i, j - i), batch.column("t").slice(i, j - i), content, pa.array(sizes, pa.int32()), hashes]
-                yield pa.record_batch(columns, ["doc_id", "t", "k", "n", "hashes"])
+                bits = pa.array(np.array(prints, np.uint64).view(np.int64))
+                columns = [batch.column("doc_id").slice(i, j - i), batch.column("t").slice(i, j - i), content, bits, pa.array(sizes, pa.int32()), hashes]
+                yield pa.record_batch(columns, ["doc_id", "t", "k", "bits", "n", "hashes"])
 
     return run
 
 
-_SCHEMA = "doc_id long, t long, k long, n int, hashes array<long>"
+_SCHEMA = "doc_id long, t long, k long, bits long, n int, hashes array<long>"
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -86,8 +101,16 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text), owner_id, owner_t of documents with an id: the class's document of the smallest id."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").withColumn("t", F.xxhash64("text"))
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prints = written(named.mapInArrow(_hashed(False), _SCHEMA), "contents")
     distinct = prints.dropDuplicates(["k"])
+    # fingerprints within the radius, and contents of one fingerprint with the least of them
+    of_bits = written(distinct.groupBy("bits").agg(F.min("k").alias("least"), F.max("k").alias("most")), "print-contents")
+    edges = fingerprint_links(of_bits.select("bits"), n_parts)
+    near = edges.join(of_bits.select(F.col("bits").alias("u"), F.col("least").alias("a")), "u").join(of_bits.select(F.col("bits").alias("v"), F.col("least").alias("b")), "v").select("a", "b")
+    same = distinct.join(of_bits.where("least < most").select("bits", "least"), "bits").where("k <> least").select(F.col("least").alias("a"), F.col("k").alias("b"))
+    near = near.union(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    # the inverted index of shingles
     rows = distinct.select("k", "n", F.explode("hashes").alias("h"))
     common = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     shared = rows.join(common, "h").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
@@ -95,22 +118,33 @@ def classes(docs: DataFrame) -> DataFrame:
     rare = F.slice("shared", F.lit(1), F.size("shared") - q + 1)
     lists = shared.where(F.size("shared") >= q).select("k", "n", F.inline(rare)).select("h", "k", "n")
     lists = written(lists, "posting-lists")
-    centres = lists.groupBy("h").agg(F.min(F.struct("k", "n")).alias("c"), F.max("k").alias("most")).where("c.k < most").select("h", "c")
+    centres = written(lists.groupBy("h").agg(F.min(F.struct("k", "n")).alias("c"), F.max("k").alias("most")).where("c.k < most").select("h", "c"), "centres")
     met = lists.join(centres, "h")
     close = lambda n, m: (F.least(n, m) * 5 >= F.greatest(n, m) * 4)
-    stars = written(met.where(F.col("k") != F.col("c.k")).where(close(F.col("n"), F.col("c.n"))).select(F.col("c.k").alias("u"), F.col("k").alias("v")).distinct(), "star-pairs")
-    nodes = met.select("k").distinct().join(prints.groupBy("k").agg(F.min(F.struct("doc_id", "t")).alias("at")), "k")
+    stars = met.where(F.col("k") != F.col("c.k")).where(close(F.col("n"), F.col("c.n"))).select(F.col("c.k").alias("u"), F.col("k").alias("v"))
+    pairs = written(near.union(stars).distinct(), "star-pairs")
+    nodes = met.select("k").union(pairs.select("u")).union(pairs.select("v")).distinct()
+    nodes = nodes.join(prints.groupBy("k").agg(F.min(F.struct("doc_id", "t")).alias("at")), "k")
     nodes = written(nodes.select("at.doc_id", "at.t"), "compared")
-    sets = written(named.join(nodes, ["doc_id", "t"]).mapInArrow(_hashed(True), _SCHEMA).dropDuplicates(["k"]).select("k", "hashes"), "sets")
-    links = written(_linked(stars, sets), "star-links")
-    roots = components(links, "star-components").withColumnRenamed("node", "k")
-    parted = lists.join(roots, "k", "left").select("h", "k", "n", F.coalesce("root", "k").alias("root"))
-    mixed = parted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    parted = written(parted.join(mixed, "h"), "mixed-lists")
-    other = parted.select("h", F.col("k").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = parted.withColumnRenamed("k", "u").join(other, "h").where("root < other").where(close(F.col("n"), F.col("m"))).select("u", "v").distinct()
-    rest = written(rest, "rest-pairs")
-    links = written(links.union(_linked(rest, sets)), "content-links")
+    sets = written(named.join(nodes, ["doc_id", "t"]).mapInArrow(_hashed(True), _SCHEMA).dropDuplicates(["k"]).select("k", "n", "hashes"), "sets")
+    links = written(_linked(pairs, sets), "star-links")
+    roots = written(components(links, "star-components").withColumnRenamed("node", "k"), "star-roots")
+
+    def several(of: DataFrame, name: str) -> DataFrame:
+        """Lists (h, k, n, root) that hold several components."""
+        parted = written(of.join(roots, "k", "left").select("h", "k", "n", F.coalesce("root", "k").alias("root")), name)
+        mixed = written(parted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h"), name)
+        return parted.join(mixed, "h")
+
+    left = several(lists, "parted-lists").select("k").distinct()
+    whole = sets.join(left, "k").select("k", "n", F.explode("hashes").alias("h"))
+    df = whole.groupBy("h").agg(F.count("*").alias("df"))
+    ordered = whole.join(df, "h").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("all"))
+    rarest = F.filter(F.slice("all", F.lit(1), (F.col("n") - needed(F.col("n")) + 1).cast("int")), lambda x: x["df"] > 1)
+    rest = written(several(written(ordered.select("k", "n", F.inline(rarest)).select("h", "k", "n"), "rare-lists"), "rare-parted"), "mixed-lists")
+    other = rest.select("h", F.col("k").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
+    pairs = rest.withColumnRenamed("k", "u").join(other, "h").where("root < other").where(close(F.col("n"), F.col("m"))).select("u", "v").distinct()
+    links = written(links.union(_linked(written(pairs, "rest-pairs"), sets)), "content-links")
     roots = components(links, "content-components").withColumnRenamed("node", "k")
     labelled = prints.select("doc_id", "t", "k").join(roots, "k", "left").select("doc_id", "t", F.coalesce("root", "k").alias("root"))
     owners = labelled.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("owner"))

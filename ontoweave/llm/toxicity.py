@@ -5,8 +5,10 @@ ends marked) of all its words, hashed into buckets.  A bucket has an embedding;
 softmax gives the class.  Embeddings and softmax are trained together, so a misspelling that training never saw shares
 the vectors of the n-grams it has in common with known words.
 
-A bag is a stretch of ``WINDOW`` words, and a document is as toxic as its worst stretch, so one insult in a long text is not
-averaged away: in training the gradient goes to the stretch that scores highest (and for clean documents to several).
+Training goes from whole texts to parts of them.  In the first epochs a bag is a whole document (its distinct n-grams, averaged).
+Then a bag is a stretch of ``WINDOW`` words, and a document is as toxic as its worst stretch, so one insult in a long text is not
+averaged away: the gradient goes to the stretch that scores highest (and for clean documents to several).  Scores are those of the
+worst stretch.  All vectors start at random.
 
 Training rows are labelled rows outside the held-out fold (crc32 of the id as text, modulo 3, is 1), at most ``rows`` of each
 class and of at most ``chars`` characters, in the order of a hash of their id; that bounds what the driver collects.  Inputs
@@ -29,7 +31,6 @@ from pyspark.sql import types as T
 from .common import crc32_column, steps, utf8
 
 BUCKETS, DIM, SIZES, WINDOW = 1 << 18, 8, (3, 4, 5, 6), 4
-SMOOTHING, SHARPNESS = 4.0, 3.0
 SEPARATOR = 32
 _ALNUM = np.array([chr(c).isalnum() and not 0xD800 <= c < 0xE000 for c in range(1 << 16)])
 
@@ -76,23 +77,12 @@ class Model:
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.embeddings = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / (10 * DIM)
+        self.embeddings = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / (5 * DIM)
         self.weights = (rng.random((DIM, 2), np.float32) - 0.5) * 2
         self.bias = np.zeros(2, np.float32)
 
-    def _start(self, docs: list, labels: list[int]) -> None:
-        """The first dimension starts at the smoothed log ratio of the classes' document frequencies."""
-        seen = np.zeros((2, BUCKETS))
-        for (_, bucket, _), y in zip(docs, labels, strict=True):
-            seen[y, np.unique(bucket)] += 1
-        n = np.bincount(labels, minlength=2).astype(float)
-        prior = SMOOTHING * n / n.sum()
-        rate = (seen + prior[:, None]) / (n + SMOOTHING)[:, None]
-        self.embeddings[:, 0] = np.clip(np.log(rate[1] / rate[0]) - np.log(prior[1] / (n[1] + SMOOTHING) / (prior[0] / (n[0] + SMOOTHING))), -3, 5)
-        self.weights[0] = (-SHARPNESS, SHARPNESS)
-        self.bias[:] = (1, -1)
-
-    def fit(self, texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.3, seed: int = 7) -> "Model":
+    def fit(self, texts: list[str], labels: list[int], whole: int = 3, epochs: int = 6, rate: float = 0.3, seed: int = 7) -> "Model":
+        """Trains for ``whole`` epochs on whole documents, then for ``epochs`` on their worst stretches."""
         rng = np.random.default_rng(seed)
         docs = []
         for text in texts:
@@ -100,35 +90,42 @@ class Model:
             key, n = np.unique(bag * BUCKETS + bucket, return_counts=True)
             bag = key // BUCKETS
             docs.append((np.searchsorted(bag, np.arange(len(of) + 1)), (key % BUCKETS).astype(np.int32), n.astype(np.float32)))
-        weight = len(labels) / (2 * np.maximum(np.bincount(labels, minlength=2), 1))
-        squares = np.full(BUCKETS, 1e-3, np.float32)
-        w_squares, b_squares = np.full((DIM, 2), 1e-2, np.float32), np.full(2, 1e-2, np.float32)
-        self._start(docs, labels)
-        for _ in range(epochs):
+        self.weight = len(labels) / (2 * np.maximum(np.bincount(labels, minlength=2), 1))
+        self.squares = np.full(BUCKETS, 1e-3, np.float32)
+        self.w_squares, self.b_squares = np.full((DIM, 2), 1e-2, np.float32), np.full(2, 1e-2, np.float32)
+        for epoch in range(whole + epochs):
             for d in rng.permutation(len(docs)):
                 cuts, bucket, n = docs[d]
+                if epoch < whole:
+                    bucket = np.unique(bucket)
+                    self._learn(bucket, np.ones(len(bucket), np.float32), labels[d], rate)
+                    continue
                 # the worst stretch, and for clean texts others at random
                 chosen = {int(self._margins(cuts, bucket, n).argmax())} | (set(rng.integers(len(cuts) - 1, size=2).tolist()) if not labels[d] else set())
-                for a, z in ((cuts[i], cuts[i + 1]) for i in sorted(chosen)):
-                    if a == z:
-                        continue
-                    share = n[a:z] / n[a:z].sum()
-                    mean = share @ self.embeddings[bucket[a:z]]
-                    logits = mean @ self.weights + self.bias
-                    p = np.exp(logits - logits.max())
-                    p /= p.sum()
-                    p[labels[d]] -= 1
-                    g = (p * weight[labels[d]]).astype(np.float32)
-                    back = self.weights @ g
-                    w_grad = np.outer(mean, g)
-                    w_squares += w_grad**2
-                    b_squares += g**2
-                    self.weights -= rate * 0.1 * w_grad / np.sqrt(w_squares)
-                    self.bias -= rate * 0.1 * g / np.sqrt(b_squares)
-                    squares[bucket[a:z]] += share**2 * (back @ back)
-                    self.embeddings[bucket[a:z]] -= (rate * share / np.sqrt(squares[bucket[a:z]]))[:, None] * back
+                for i in sorted(chosen):
+                    self._learn(bucket[cuts[i] : cuts[i + 1]], n[cuts[i] : cuts[i + 1]], labels[d], rate)
         return self
 
+    def _learn(self, bucket: np.ndarray, n: np.ndarray, label: int, rate: float) -> None:
+        """One step for a bag: the embeddings' average goes into the softmax, the gradient to both."""
+        if not len(bucket):
+            return
+        share = n / n.sum()
+        mean = share @ self.embeddings[bucket]
+        logits = mean @ self.weights + self.bias
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        p[label] -= 1
+        g = (p * self.weight[label]).astype(np.float32)
+        back = self.weights @ g
+        w_grad = np.outer(mean, g)
+        self.w_squares += w_grad**2
+        self.b_squares += g**2
+        self.weights -= rate * 0.1 * w_grad / np.sqrt(self.w_squares)
+        self.bias -= rate * 0.1 * g / np.sqrt(self.b_squares)
+        self.squares[bucket] += share**2 * (back @ back)
+        self.embeddings[bucket] -= (rate * share / np.sqrt(self.squares[bucket]))[:, None] * back
+
     def _margins(self, cuts, bucket, n):
         got = np.append(n * (self.embeddings[bucket] @ (self.weights[:, 1] - self.weights[:, 0])), 0)
         at = np.minimum(cuts[:-1], len(got) - 1)

@@ -594,3 +594,38 @@ def test_toxicity(spark, docs, rows, empty):
     assert out.columns == docs.columns and {r.predicted for r in out.collect()} <= {5}
     assert toxicity.toxicity(docs, labels.limit(0)).count() == len(rows)
     assert toxicity.toxicity(empty, labels).count() == 0
+
+
+def _plain_score(text, values, bias):
+    """score_texts in plain Python: the worst stretch of four words."""
+    import math
+
+    words, word = [], ""
+    for c in text.lower() + " ":
+        if c.isalnum() and ord(c) < 1 << 16:
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    worst = -math.inf
+    for k in range(0, max(1, len(words)), 4):
+        found = []
+        for w in words[k : k + 4]:
+            code = [32, *map(ord, w), 32]
+            for n in (3, 4, 5, 6):
+                for a in range(len(code) - n + 1):
+                    h = code[a]
+                    for c in code[a + 1 : a + n]:
+                        h = (h * 0x9E3779B97F4A7C15 + c) % (1 << 64)
+                    found.append(values[((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64)) >> 46])
+        worst = max(worst, sum(map(float, found)) / max(1, len(found)) + bias)
+    return 1 / (1 + math.exp(-max(-50, min(50, worst))))
+
+
+def test_toxicity_scores_are_those_of_plain_python(rows):
+    rng = np.random.default_rng(12)
+    values, bias = rng.normal(size=toxicity.BUCKETS).astype(np.float32) * 3, -0.3
+    say = random.Random(3)
+    texts = [t or "" for _, t in rows] + ["", "a", "É É", "Ünder_score 9x\U0001F600 b", "x" * 3000, " ".join(_told(say, 30_000)), "ok " * 200_000]
+    got = np.concatenate([toxicity.score_texts(texts[i : i + 9], values, bias) for i in range(0, len(texts), 9)])
+    assert np.allclose(got, [_plain_score(t, values, bias) for t in texts], atol=1e-9)
