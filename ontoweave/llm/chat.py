@@ -7,8 +7,9 @@ The template marks a turn as ``### Role:`` and ``</turn>``.  Inside texts and ro
 backslash, so no text can hold a marker, and ``unescape`` gives the text back.
 
 Rows of one conversation are ordered by turn, then role and text (ties), nulls first.  A null text is empty, a null role the
-empty role, and null conversation ids are one conversation.  A conversation is the unit of formatting, so one must fit a task; its
-examples grow with the square of its turns, which is the operator's meaning.
+empty role, and null conversation ids are one conversation.  Conversations come sorted and are streamed through a task, which holds
+the turns so far of one conversation and no more; the examples grow with the square of its turns, which is the operator's meaning.
+Other columns are ignored, and an empty table has no examples.
 """
 
 from __future__ import annotations
@@ -48,30 +49,45 @@ def _role_back(shown: str) -> str:
     return role[1:] if role.startswith("\\") else role[:1].lower() + role[1:]
 
 
+#: Characters of examples that a task gathers before it hands them on.
+FLUSH = 4 << 20
+_START = object()
+
+
 def _expand(batches):
+    """Examples of rows that come sorted by conversation; only the turns so far of one conversation are held."""
+    current, prefix, k, plain, out, held = _START, "", 0, False, [], 0
+
+    def flush():
+        return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), EXAMPLE, strict=True)], schema=EXAMPLE)
+
     for batch in batches:
-        out = []
-        for conv, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
-            prefix, k, plain = "", 0, True
-            for t in turns:
-                role, text = t["role"] or "", escape(t["text"] or "")
-                head = f"{OPEN}{_role(role)}: "
-                start = len(prefix) + len(head)
-                prefix += head + text + CLOSE
-                plain = True
-                if role == "assistant":
-                    out.append((conv, k, prefix, start, start + len(text)))
-                    k, plain = k + 1, False
-            if plain and turns:
-                out.append((conv, k, prefix, None, None))
-        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), EXAMPLE, strict=True)] if out else [pa.array([], f.type) for f in EXAMPLE], schema=EXAMPLE)
+        for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+            if conv != current or current is _START:
+                if plain:
+                    out.append((current, k, prefix, None, None))
+                current, prefix, k, plain = conv, "", 0, False
+            role, text = role or "", escape(text or "")
+            head = f"{OPEN}{_role(role)}: "
+            start = len(prefix) + len(head)
+            prefix += head + text + CLOSE
+            plain = role != "assistant"
+            if not plain:
+                out.append((conv, k, prefix, start, start + len(text)))
+                k, held = k + 1, held + len(prefix)
+                if held > FLUSH:
+                    yield flush()
+                    out, held = [], 0
+    if plain:
+        out.append((current, k, prefix, None, None))
+    if out:
+        yield flush()
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
     """conv_id, example, text, loss_start, loss_end (code points of text; null without a target) from conv_id, turn, role, text."""
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    grouped = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return grouped.mapInArrow(_expand, EXAMPLE_COLUMNS)
+    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_expand, EXAMPLE_COLUMNS)
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -86,31 +102,45 @@ def parse(text: str) -> list[tuple[str, str]]:
     return turns
 
 
+DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+
 def _digest(batches):
-    for batch in batches:
-        out = []
-        for conv, examples in zip(batch.column("conv_id").to_pylist(), batch.column("examples").to_pylist(), strict=True):
-            turns = parse(examples[-1]["text"])
-            seen, loss, n = hashlib.sha256(), hashlib.sha256(), 0
-            for role, text in turns:
-                seen.update(f"{role}\n{text}\n".encode())
-            for e in examples:
-                if e["loss_start"] is not None:
-                    reply = unescape(e["text"][e["loss_start"] : e["loss_end"]])
-                    loss.update(reply.encode())
-                    n += len(reply)
-            out.append((conv, len(turns), seen.hexdigest(), n, loss.hexdigest(), sum(len(e["text"]) for e in examples)))
-        yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], DIGEST) if out else pa.record_batch([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())], DIGEST)
+    """Digests of examples that come sorted by conversation; only the last example of one conversation is held."""
+    current, last, loss, n, size, out = _START, "", None, 0, 0, []
 
+    def row():
+        turns, seen = parse(last), hashlib.sha256()
+        for role, text in turns:
+            seen.update(f"{role}\n{text}\n".encode())
+        return current, len(turns), seen.hexdigest(), n, loss.hexdigest(), size
 
-DIGEST = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    def table():
+        return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), DIGEST, strict=True)], schema=DIGEST)
+
+    for batch in batches:
+        for conv, text, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "loss_start", "loss_end")), strict=True):
+            if conv != current or current is _START:
+                if current is not _START:
+                    out.append(row())
+                current, loss, n, size = conv, hashlib.sha256(), 0, 0
+            last, size = text, size + len(text)
+            if start is not None:
+                reply = unescape(text[start:end])
+                loss.update(reply.encode())
+                n += len(reply)
+        if out:
+            yield table()
+            out = []
+    if current is not _START:
+        out.append(row())
+        yield table()
 
 
 def read_back(examples: DataFrame) -> DataFrame:
     """A digest of each conversation, parsed from formatted examples."""
-    e = F.struct("example", "text", "loss_start", "loss_end")
-    grouped = examples.groupBy("conv_id").agg(F.sort_array(F.collect_list(e)).alias("examples"))
-    return grouped.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    ordered = examples.select("conv_id", "example", "text", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "example")
+    return ordered.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def write_chats(rows: DataFrame) -> DataFrame:
