@@ -7,10 +7,12 @@ slot and compares the fingerprint: constant time, over payload that is never par
 
 Shards are written by tasks to the shared folder (any file system pyarrow opens by URI) under names of their own attempt; the
 manifest, a written table, names the files of the attempts that succeeded, so a lost executor's half-written file is never
-read.  Rows are dealt by ranges of ids.
+read.  Rows are dealt by ranges of ids, then of a hash of the text and of the row's place, so that a null or repeated id of a third
+of all rows is many shards.
 
 Nulls: a null text is empty; null ids come after all others, are kept in the shard's order but have no key.  Of rows that
-repeat an id the index finds the first; the shard's order has them all.
+repeat an id the first shard's index finds the first; the shards' order has them all.  An empty table has no shards; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +25,17 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, mix, new_path, text_bytes, written
-from .tokens import encoded
+from .tokens import encoded_steps
 
 MAGIC = b"TOKSHRD1"
 #: Bits of a level for each key left.
 GAMMA = 2
+#: Shards of a block of the manifest.
+BLOCK = 1024
 
 
 def _hash(keys: np.ndarray, seed) -> np.ndarray:
@@ -127,12 +131,14 @@ def _write(folder: str, tokenizer: str, end: int, wide: bool):
                 system.create_dir(where.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(where)
             ids_of.append(batch.column("id").to_numpy())
-            for _, ids in encoded(batch, tokenizer, end):
+            for _, _, ends, ids in encoded_steps(batch, tokenizer, end):
+                if not wide and len(ids) and int(ids.max()) >= 1 << 16:
+                    raise ValueError(f"id {int(ids.max())} takes over 16 bits: write wide shards")
                 out.write(ids.astype(width).tobytes())
-                lengths.append(len(ids))
+                lengths.append(np.diff(ends))
         if out is None:
             return
-        ids, lengths = np.concatenate(ids_of), np.array(lengths, np.int64)
+        ids, lengths = np.concatenate(ids_of), np.concatenate(lengths).astype(np.int64)
         offsets = np.cumsum(lengths) - lengths
         keys, first = np.unique(ids[ids != NO_ID], return_index=True)
         mph = build_mph(keys)
@@ -156,13 +162,15 @@ def _write(folder: str, tokenizer: str, end: int, wide: bool):
 def write_token_shards(docs: DataFrame, tokenizer: str, end: int = 0, shard_bytes: int = 64 << 20, folder: str | None = None, wide: bool = False) -> DataFrame:
     """Writes shards in ascending order of doc_id; returns the manifest (a written table).
 
-    ids are 16 bits each unless ``wide`` (vocabularies of more than 65,536 ids).
+    ids are 16 bits each unless ``wide`` (vocabularies of more than 65,536 ids; without it such an id is an error).
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs) // shard_bytes))
     folder = folder or new_path(spark, "token-shards")
-    dealt = docs.repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
+    order = ["id", "__h", "__row"]
+    docs = docs.withColumns({"__h": F.xxhash64("text"), "__row": F.monotonically_increasing_id()})
+    dealt = docs.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("__h", "__row")
     return written(dealt.mapInArrow(_write(folder, tokenizer, end, wide), MANIFEST), "token-manifest")
 
 
@@ -172,30 +180,31 @@ def _read(batches):
             shard = Shard(row["path"])
             ids, lengths = shard.index["ids"], shard.index["lengths"]
             offset = np.cumsum(lengths) - lengths
-            found, at, n = shard.find(ids)
+            found, at, size = shard.find(ids)
             first = np.append(True, ids[1:] != ids[:-1]) & (ids != NO_ID)
-            if not (found[first].all() and np.array_equal(at[first], offset[first]) and np.array_equal(n[first], lengths[first])):
+            if not (found[first].all() and np.array_equal(at[first], offset[first]) and np.array_equal(size[first], lengths[first])):
                 raise ValueError(f"{row['path']}: the index does not lead to its documents")
             for i in range(0, len(ids), 1024):
                 j = min(len(ids), i + 1024)
-                where = np.where(first[i:j], at[i:j], offset[i:j])
-                raw = [shard.read(a, k).astype("<u4").tobytes() for a, k in zip(where, lengths[i:j], strict=True)]
+                n = lengths[i:j]
+                # documents that the index finds one after the other are one read
+                raw = memoryview(shard.read(offset[i], int(n.sum())).astype("<u4").tobytes())
+                ends = 4 * np.cumsum(n)
                 yield pa.record_batch({
                     "doc_id": pa.array(ids[i:j], mask=ids[i:j] == NO_ID),
-                    "start": pa.array(where + row["start"]),
-                    "n_tokens": pa.array([len(x) // 4 for x in raw], pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+                    "start": pa.array(offset[i:j] + row["start"]),
+                    "n_tokens": pa.array(n.astype(np.int64)),
+                    "ids_crc32": pa.array([zlib.crc32(raw[a:z]) for a, z in zip((ends - 4 * n).tolist(), ends.tolist(), strict=True)], pa.int64()),
                 })
 
 
 def read_token_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32, read back from the files through their index."""
-    rows = [r.asDict() for r in manifest.orderBy("shard").collect()]  # a row for each shard
-    start = 0
-    for r in rows:
-        r["start"] = start
-        start += r["n_tokens"]
-    spark = manifest.sparkSession
-    kind = "path string, start long"
-    shards = spark.createDataFrame([(r["path"], r["start"]) for r in rows], kind)
-    return shards.repartition(max(1, len(rows))).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = manifest.count()
+    rows = manifest.select("shard", "path", "n_tokens", F.floor(F.col("shard") / BLOCK).alias("block"))
+    # a running sum within blocks of shards, and one over the blocks, a row for each 64 GB of text
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = rows.groupBy("block").agg(F.sum("n_tokens").alias("n_tokens")).select("block", before(Window.orderBy("block")).alias("first"))
+    starts = rows.withColumn("inside", before(Window.partitionBy("block").orderBy("shard"))).join(blocks, "block")
+    shards = starts.select("path", (F.col("first") + F.col("inside")).alias("start"))
+    return shards.repartition(max(1, n)).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -1,9 +1,12 @@
 """Token ids of whole texts by the tokenizers library, fast enough for large corpora.
 
 A byte-level BPE tokenizer with the usual word pattern never joins what stands before and after a white-space character
-between two other characters.  So a text is cut there into pieces, a distinct piece into its words by the pattern, and each
-distinct word is encoded once by the tokenizer's model; ids are gathered from a table of pieces.  The ids are those of the
-whole text (tests compare them).  A tokenizer of another kind encodes whole texts.
+between two other characters.  So the bytes of many texts are cut there into pieces at once, equal pieces of a step become
+one by Arrow's dictionary encoding, a distinct piece is cut into its words by the pattern, and each distinct word is encoded once
+by the tokenizer's model; ids are gathered from a table of pieces.  The ids are those of the whole text (tests compare them).  A
+tokenizer of another kind encodes whole texts.
+
+Strings of special tokens in a text are ordinary text, as the notes beside the tokenizer files set it (``encode_special_tokens``).
 """
 
 from __future__ import annotations
@@ -12,12 +15,15 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
 import regex
 
-#: Pieces and words that a worker remembers; a table starts anew beyond that, which changes no id.
-REMEMBERED = 400_000
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_TWO = re.compile(r"\s\s")
+from .common import steps, utf8
+
+#: Pieces and words that a worker remembers; beyond that those that only one step had are forgotten, which changes no id.
+REMEMBERED = 600_000
+#: Text bytes that are cut and looked up at once; a single longer text is one step.
+STEP = 4 << 20
 #: The word pattern of byte-level BPE tokenizers, and the same for texts without the characters of _ODD, which is faster.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PLAIN_WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -45,10 +51,24 @@ class Table:
 
     def __init__(self):
         self.place: dict[str, int] = {}
-        self.first, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.first, self.count, self.pool, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def trim(self) -> None:
+        """Where there are too many, forgets the strings that were looked up once, or all if that leaves most."""
+        if len(self.place) <= REMEMBERED:
+            return
+        often = np.flatnonzero(self.hits[: len(self.place)] > 1)
+        if len(often) > REMEMBERED // 2:
+            often = often[:0]
+        strings, (total, ids) = list(self.place), self.ids(often)
+        self.__init__()
+        if len(often):
+            self.add([strings[i] for i in often], np.diff(total), ids)
 
     def add(self, strings: list[str], counts: np.ndarray, ids: np.ndarray) -> None:
         n = len(self.place)
+        if n + len(strings) > len(self.hits):
+            self.hits = np.concatenate([self.hits, np.zeros(n + len(strings), np.int32)])
         self.place.update(zip(strings, range(n, n + len(strings)), strict=True))
         self.count = np.concatenate([self.count, counts])
         self.first = np.cumsum(self.count) - self.count
@@ -63,16 +83,44 @@ class Table:
         return total, self.pool[np.repeat(self.first[at] - total[:-1], n) + np.arange(total[-1])]
 
 
-def _places(strings: list[str], place, learn) -> np.ndarray:
-    """Places of strings in a table that learns those it lacks."""
-    at = list(map(place().get, strings))
+def _places(strings: list[str], table: Table, learn) -> np.ndarray:
+    """Places of distinct strings in a table that learns those it lacks."""
+    at = list(map(table.place.get, strings))
     if None in at:
         lacking = [i for i, x in enumerate(at) if x is None]
-        new = [strings[i] for i in lacking]
-        learn(list(dict.fromkeys(new)))
-        for i, x in zip(lacking, map(place().__getitem__, new), strict=True):
-            at[i] = x
-    return np.array(at, np.int64)
+        first = len(table.place)
+        learn([strings[i] for i in lacking])
+        for k, i in enumerate(lacking, first):
+            at[i] = k
+    found = np.array(at, np.int64)
+    table.hits[found] += 1
+    return found
+
+
+#: ASCII white space of Python's and of Unicode's kind.
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+
+
+def _maybe_space(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a character of these first two bytes may be white space beyond ASCII."""
+    return ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80))
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of data (rows at offsets) where pieces begin: rows, and blanks or line ends between two characters that are no white space."""
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    at = at[(at > 0) & (at < len(data) - 1)]
+    at = at[~(_BLANK[data[at - 1]] | _BLANK[data[at + 1]])]
+    wide = np.flatnonzero((data[at - 1] >= 0x80) | (data[at + 1] >= 0xC2))
+    if len(wide):
+        w = at[wide]
+        low = lambda k: data[np.maximum(w - k, 0)]
+        odd = _maybe_space(data[w + 1], data[np.minimum(w + 2, len(data) - 1)]) | _maybe_space(low(2), low(1)) | _maybe_space(low(3), low(2))
+        at = np.delete(at, wide[odd])
+    begins = np.zeros(len(data) + 1, bool)
+    begins[at] = begins[offsets[:-1]] = True  # an empty row begins where the next one does
+    return np.flatnonzero(begins[:-1])
 
 
 class Encoder:
@@ -113,8 +161,7 @@ class Encoder:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
             self.pieces.add(pieces, np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.int32))
             return
-        if len(self.words.place) > REMEMBERED:
-            self.words = Table()
+        self.words.trim()
         words, sizes = [], []
         for p in pieces:  # a blank and letters is a word, and so is a stop or comma after it
             if p[0] == " " and p[1:].isalpha():
@@ -127,40 +174,41 @@ class Encoder:
                 found = (_WORDS if _ODD.search(p) else _PLAIN_WORDS).findall(p)
                 words += found
                 sizes.append(len(found))
-        total, ids = self.words.ids(_places(words, lambda: self.words.place, self._encode_words))
+        distinct = pa.array(words, pa.large_string()).dictionary_encode()
+        places = _places(distinct.dictionary.to_pylist(), self.words, self._encode_words)
+        total, ids = self.words.ids(places[distinct.indices.to_numpy()])
         self.pieces.add(pieces, np.diff(total[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]), ids)
 
-    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids): the ids of texts after each other, each followed by end if given."""
-        pieces, sizes = [], []
-        for text in texts:
-            if not text:
-                found = []
-            elif not self.by_words:
-                found = [text]
-            elif "\0" in text or text[0].isspace() or text[-1].isspace() or _TWO.search(text):
-                found = _CUT.split(text)
-            else:
-                found = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-            pieces += found
-            sizes.append(len(found))
-        if len(self.pieces.place) > REMEMBERED:
-            self.pieces = Table()
-        total, ids = self.pieces.ids(_places(pieces, lambda: self.pieces.place, self._learn))
-        cuts = total[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+    def encode_rows(self, data: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids): the ids of the texts (UTF-8 bytes, rows at offsets) after each other, each followed by end if given."""
+        starts = cuts(data, offsets) if self.by_words else offsets[:-1][np.diff(offsets) > 0]
+        first = np.searchsorted(starts, offsets)  # the first piece of each row
+        bounds = np.append(starts, len(data)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+        distinct = pieces.dictionary_encode()
+        self.pieces.trim()
+        places = _places(distinct.dictionary.to_pylist(), self.pieces, self._learn)
+        total, ids = self.pieces.ids(places[distinct.indices.to_numpy()] if len(starts) else places)
+        ends = total[first]
         if end is not None:
-            ids = np.insert(ids, cuts[1:], end)
-            cuts = cuts + np.arange(len(cuts))
-        return cuts, ids
+            ids = np.insert(ids, ends[1:], end)
+            ends = ends + np.arange(len(ends))
+        return ends, ids
 
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        offsets, data = utf8(pa.array(texts, pa.large_string()))
+        return self.encode_rows(data, offsets, end)
 
-def encoded(batch, path: str, end: int, size: int = 1 << 20):
-    """(row, ids) of each text of an Arrow batch; nulls are empty."""
-    from .common import steps, utf8
 
-    column = batch.column("text")
-    offsets, _ = utf8(column)
+def encoded_steps(batch, path: str, end: int, size: int = STEP):
+    """(first row, end row, offsets, ids) of steps of the texts of an Arrow batch; nulls are empty."""
+    offsets, data = utf8(batch.column("text"))
     for i, j in steps(offsets, size):
-        cuts, ids = encoder(path).encode([x or "" for x in column.slice(i, j - i).to_pylist()], end)
+        yield i, j, *encoder(path).encode_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end)
+
+
+def encoded(batch, path: str, end: int, size: int = STEP):
+    """(row, ids) of each text of an Arrow batch; nulls are empty."""
+    for i, j, ends, ids in encoded_steps(batch, path, end, size):
         for k in range(j - i):
-            yield i + k, ids[cuts[k] : cuts[k + 1]]
+            yield i + k, ids[ends[k] : ends[k + 1]]
