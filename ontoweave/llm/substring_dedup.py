@@ -67,7 +67,6 @@ class Step:
         gram = run_hashes(self.words, GRAM)
         anchor = _sliding_argmin(gram, window - GRAM + 1)[self.at] if len(row) else self.at
         first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))) if len(row) else self.at
-        self.record_of = np.cumsum(np.bincount(first, minlength=len(row))) - 1  # of each window
         self.row, self.anchor, self.first = row[first], anchor[first], self.at[first]
         self.count = np.diff(np.append(first, len(row)))
         self.key = gram[self.anchor] if len(row) else np.zeros(0, np.uint64)
@@ -87,12 +86,19 @@ class Step:
         z = self._places[self.first[chosen] + self.count[chosen] + self.window - 1] - 1
         return [self._texts[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True)]
 
-    def window_hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each window."""
-        if not len(self.at):
-            return self.key, self.key
-        other = word_hashes(self.data, self.starts, self.ends, 1)
-        return run_hashes(self.words, self.window)[self.at], run_hashes(other, self.window)[self.at]
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(record, first word, hash, second hash) of each window of the chosen records."""
+        n = self.count[chosen] + self.window - 1
+        ends = np.cumsum(n)
+        if not len(n):
+            return chosen, chosen, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        word = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(self.first[chosen], n)
+        one = run_hashes(self.words[word], self.window)
+        two = run_hashes(word_hashes(self.data, self.starts[word], self.ends[word], 1), self.window)
+        n = self.count[chosen]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = k + np.repeat(ends - (n + self.window - 1), n)
+        return np.repeat(chosen, n), k + np.repeat(self.first[chosen], n), one[at], two[at]
 
 
 def _steps(table: pa.Table, window: int):
@@ -150,9 +156,9 @@ def _shared_keys(limit: int):
 
 
 #: A leaf: a record (words of its windows, place of the anchor, windows; row and first word of one that has it), or a window of a
-#: frequent prefix (its hashes key and key2); and the smallest and largest id that have it.
-LEAF = pa.schema([("b", pa.int32()), ("key", pa.int64()), ("key2", pa.int64()), ("words", pa.binary()), ("anchor", pa.int32()), ("n", pa.int32()), ("row", pa.int32()), ("at", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64())])
-LEAVES = "b int, key long, key2 long, words binary, anchor int, n int, row int, at int, lo long, hi long"
+#: frequent prefix (its hashes key2 and key3); and the smallest and largest id that have it.  key is the prefix's hash.
+LEAF = pa.schema([("b", pa.int32()), ("key", pa.int64()), ("key2", pa.int64()), ("key3", pa.int64()), ("words", pa.binary()), ("anchor", pa.int32()), ("n", pa.int32()), ("row", pa.int32()), ("at", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64())])
+LEAVES = "b int, key long, key2 long, key3 long, words binary, anchor int, n int, row int, at int, lo long, hi long"
 
 
 def _known(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
@@ -160,16 +166,18 @@ def _known(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys if len(sorted_keys) else np.zeros(len(keys), bool)
 
 
-def _chosen(table: pa.Table, window: int, keys: np.ndarray):
-    """(row, anchor, windows, first word, words) of a batch's records of these sorted keys, words as codes of equal contexts."""
-    parts, texts = [], []
+def _chosen(table: pa.Table, window: int, keys: np.ndarray, frequent: np.ndarray):
+    """A batch's records of these sorted keys: (row, place of the anchor, windows, first word, key), and their words as codes of equal
+    ones; and the windows of records of frequent keys: (row, first word, key, two hashes)."""
+    parts, texts, more = [], [], []
     for i, _, s in _steps(table, window):
         hit = np.flatnonzero(_known(s.key, keys))
         texts += s.contexts(hit)
-        first = s.rows[s.row[hit]]
-        parts.append((s.row[hit] + i, s.anchor[hit] - s.first[hit], s.count[hit], s.first[hit] - first, s.key[hit]))
-    found = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    return found, pa.array(texts, pa.large_binary()).dictionary_encode()
+        parts.append((s.row[hit] + i, s.anchor[hit] - s.first[hit], s.count[hit], s.first[hit] - s.rows[s.row[hit]], s.key[hit]))
+        record, at, one, two = s.windows(np.flatnonzero(_known(s.key, frequent)))
+        more.append((s.row[record] + i, at - s.rows[s.row[record]], s.key[record], one, two))
+    found, hot = ([np.concatenate(x) for x in zip(*p, strict=True)] for p in (parts, more))
+    return found, pa.array(texts, pa.large_binary()).dictionary_encode(), hot
 
 
 def _leaves(window: int):
@@ -179,24 +187,17 @@ def _leaves(window: int):
         table = _sorted(table)
         ids, b, many = table.column("id").to_numpy(), table.column("b")[0].as_py(), wanted.column("many").to_numpy()
         key = wanted.column("key").to_numpy().view(np.uint64)
-        few, frequent = np.unique(key[~many]), np.unique(key[many])
-        (row, anchor, n, at, keys), words = _chosen(table, window, few)
+        (row, anchor, n, at, keys), words, (hot_row, _, hot_key, one, two) = _chosen(table, window, np.unique(key[~many]), np.unique(key[many]))
         code = words.indices.to_numpy()
         first, lo, hi, _ = _least_and_most([code, anchor], row)  # rows are in the order of ids
         k = len(first)
-        out = [pa.table([pa.array(np.full(k, b, np.int32)), _signed(keys[first]), pa.nulls(k, pa.int64()), words.dictionary.take(pa.array(code[first])).cast(pa.binary()), pa.array(anchor[first].astype(np.int32)), pa.array(n[first].astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(at[first].astype(np.int32)), pa.array(ids[lo]), pa.array(ids[hi])], schema=LEAF)]
-        if len(frequent):
-            parts = []
-            for i, _, s in _steps(table, window):
-                hit = _known(s.key, frequent)[s.record_of]
-                one, two = s.window_hashes()
-                parts.append((one[hit], two[hit], ids[i + s.row[s.record_of[hit]]]))
-            one, two, of_id = (np.concatenate(x) for x in zip(*parts, strict=True))
-            first, lo, hi, _ = _least_and_most([one, two], of_id)
-            k = len(first)
-            nothing = pa.nulls(k, pa.int32())
-            out.append(pa.table([pa.array(np.full(k, b, np.int32)), _signed(one[first]), _signed(two[first]), pa.nulls(k, pa.binary()), nothing, nothing, nothing, nothing, pa.array(lo), pa.array(hi)], schema=LEAF))
-        return pa.concat_tables(out)
+        nothing = pa.nulls(k, pa.int64())
+        records = pa.table([pa.array(np.full(k, b, np.int32)), _signed(keys[first]), nothing, nothing, words.dictionary.take(pa.array(code[first])).cast(pa.binary()), pa.array(anchor[first].astype(np.int32)), pa.array(n[first].astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(at[first].astype(np.int32)), pa.array(ids[lo]), pa.array(ids[hi])], schema=LEAF)
+        first, lo, hi, _ = _least_and_most([one, two], hot_row)
+        k = len(first)
+        nothing = pa.nulls(k, pa.int32())
+        windows = pa.table([pa.array(np.full(k, b, np.int32)), *(_signed(x[first]) for x in (hot_key, one, two)), pa.nulls(k, pa.binary()), nothing, nothing, nothing, nothing, pa.array(ids[lo]), pa.array(ids[hi])], schema=LEAF)
+        return pa.concat_tables([records, windows])
 
     return run
 
@@ -217,7 +218,7 @@ def _nodes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-OWNED = "b int, key long, key2 long, row int, at int, first int, end int, owner long"
+OWNED = "b int, key long, key2 long, key3 long, row int, at int, first int, end int, owner long"
 
 
 def _trees(window: int):
@@ -256,20 +257,20 @@ def _trees(window: int):
             new = np.flatnonzero(np.append(True, (leaf[1:] != leaf[:-1]) | (k[1:] != k[:-1] + 1) | (owner[1:] != owner[:-1]))) if len(leaf) else leaf
             last = np.append(new[1:], len(leaf)) - 1 if len(leaf) else new
             at = pa.array(leaf[new])
-            yield from pa.table({c: t.column(c).take(at) for c in ("b", "key", "key2", "row", "at")} | {"first": pa.array(k[new].astype(np.int32)), "end": pa.array((k[last] + 1).astype(np.int32)), "owner": pa.array(owner[new])}).to_batches()
+            yield from pa.table({c: t.column(c).take(at) for c in ("b", "key", "key2", "key3", "row", "at")} | {"first": pa.array(k[new].astype(np.int32)), "end": pa.array((k[last] + 1).astype(np.int32)), "owner": pa.array(owner[new])}).to_batches()
 
     return run
 
 
 def _marks(table: pa.Table, owned: pa.Table, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first word, end word) of stretches of a batch to be removed."""
-    out = [(np.zeros(0, np.int64),) * 3]
+    out = []
     hot = owned.column("key2").is_valid().to_numpy()
-    key, key2 = owned.column("key").to_numpy().view(np.uint64), owned.column("key2").fill_null(0).to_numpy().view(np.uint64)
+    key, key2, key3 = (owned.column(c).fill_null(0).to_numpy().view(np.uint64) for c in ("key", "key2", "key3"))
     owner = owned.column("owner").to_numpy()
+    (row, anchor, _, at, _), words, (hot_row, hot_at, _, one, two) = _chosen(table, window, np.unique(key[~hot]), np.unique(key[hot]))
     if not hot.all():
         trees = owned.filter(pa.array(~hot))
-        (row, anchor, _, at, _), words = _chosen(table, window, np.unique(key[~hot]))
         _, _, _, leaf = _least_and_most([words.indices.to_numpy(), anchor], row)
         # the leaf of each answer: by the row and first word of the record that stands for it
         span = int(at.max(initial=0)) + 1
@@ -286,22 +287,13 @@ def _marks(table: pa.Table, owned: pa.Table, ids: np.ndarray, window: int) -> tu
         later = owner[~hot][i] < ids[row[m]]
         out.append((row[m][later], (at[m] + first)[later], (at[m] + last + window - 1)[later]))
     if hot.any():
-        order = np.lexsort((key2[hot], key[hot]))
-        one_of, two_of, owner_of = key[hot][order], key2[hot][order], owner[hot][order]
-        for i, _, s in _steps(table, window):
-            one, two = s.window_hashes()
-            k = np.searchsorted(one_of, one)
-            while True:  # equal first hashes with other second ones: the next of the run
-                in_run = np.append(one_of, 0)[np.minimum(k, len(one_of))] == one
-                go = (k < len(one_of)) & in_run & (np.append(two_of, 0)[np.minimum(k, len(one_of))] != two)
-                if not go.any():
-                    break
-                k = k + go
-            row = s.row[s.record_of]
-            hit = np.flatnonzero((k < len(one_of)) & in_run)
-            hit = hit[owner_of[k[hit]] < ids[i + row[hit]]]
-            at = s.at[hit] - s.rows[row[hit]]
-            out.append((row[hit] + i, at, at + window))
+        # windows and their owners as one sequence of hashes, each distinct one once
+        pairs = [np.concatenate(x) for x in ((key2[hot], one), (key3[hot], two))]
+        _, _, _, of = _least_and_most(pairs, np.arange(len(pairs[0])))
+        n, least = int(hot.sum()), np.full(int(of.max(initial=-1)) + 1, NO_ID)
+        least[of[:n]] = owner[hot]
+        hit = np.flatnonzero(least[of[n:]] < ids[hot_row])
+        out.append((hot_row[hit], hot_at[hit], hot_at[hit] + window))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -358,10 +350,10 @@ def substring_dedup(docs: DataFrame, window: int = 50, spans: bool = False, limi
     leaves = written(texts.cogroup(wanted.groupBy("b")).applyInArrow(_leaves(window), LEAVES), "leaves")
     groups = leaves.where("key2 is null").repartition(n, "key").sortWithinPartitions("key")
     owned = groups.mapInArrow(_trees(window), OWNED)
-    frequent = leaves.where("key2 is not null").select("b", "key", "key2", "lo", "hi")
-    owner = frequent.groupBy("key", "key2").agg(F.min("lo").alias("owner"), F.max("hi").alias("most")).where("owner < most").drop("most")
-    frequent = frequent.join(owner, ["key", "key2"]).where("owner < hi")
+    frequent = leaves.where("key2 is not null").select("b", "key", "key2", "key3", "lo", "hi")
+    owner = frequent.groupBy("key2", "key3").agg(F.min("lo").alias("owner"), F.max("hi").alias("most")).where("owner < most").drop("most")
+    frequent = frequent.join(owner, ["key2", "key3"]).where("owner < hi")
     nothing = F.lit(None).cast("int")
-    owned = owned.union(frequent.select("b", "key", "key2", nothing, nothing, nothing, nothing, "owner"))
+    owned = owned.union(frequent.select("b", "key", "key2", "key3", nothing, nothing, nothing, nothing, "owner"))
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, removed_spans array<array<long>>" * spans
     return texts.cogroup(owned.groupBy("b")).applyInArrow(_cover(window, spans), kind)
