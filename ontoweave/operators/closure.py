@@ -1,7 +1,7 @@
 """Class hierarchies: closure, depth, order, disjointness and inherited properties over edge tables (child, parent).
 
 The closure is built by recursive doubling, so a chain of n classes takes log2 n rounds; every round is written to the shared
-folder.  Cycles are found on the closure before any depth is computed.
+folder.  A cycle shows as a class above itself, in the same rounds.
 """
 
 from __future__ import annotations
@@ -9,17 +9,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoweave.errors import GraphCycleError
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; a local one in local mode where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.gettempdir()
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage: a table in the folder that spark.checkpoint.dir names (a local one where that is unset), computed once."""
+    """df without its lineage: a table in the folder that spark.checkpoint.dir names, computed once."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{folder.rstrip('/')}/ontoweave-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/ontoweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -33,10 +42,13 @@ def _doubling(edges: DataFrame, depths: bool) -> DataFrame:
         longer = known.join(up, "parent").select("child", F.col("far").alias("parent"), (F.col("lo") + F.col("lo2")).alias("lo"), (F.col("hi") + F.col("hi2")).alias("hi"))
         hi = F.max("hi") if depths else F.min("hi")
         known = cut(known.unionByName(longer).groupBy("child", "parent").agg(F.min("lo").alias("lo"), hi.alias("hi")))
-        now = tuple(known.agg(F.count("*"), F.sum("lo"), F.sum("hi")).first())
-        if now == state:
+        now = known.agg(F.count("*"), F.sum("lo"), F.sum("hi"), F.count_if(F.col("child") == F.col("parent"))).first()
+        if depths and now[3]:
+            on_cycle = known.where("child = parent").select("child").distinct().orderBy("child").limit(3).collect()
+            raise GraphCycleError("cycle through " + ", ".join(r.child for r in on_cycle))
+        if tuple(now) == state:
             return known
-        state = now
+        state = tuple(now)
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
@@ -81,9 +93,6 @@ def closure(edges: DataFrame) -> DataFrame:
     few = edges.where("child is not null and parent is not null").select("child", "parent").distinct().limit(FEW + 1).collect()
     if len(few) <= FEW:
         return edges.sparkSession.createDataFrame(_small([tuple(r) for r in few]), "child string, parent string, lo int, hi int")
-    on_cycle = cyclic(edges).orderBy("node").limit(3).collect()
-    if on_cycle:
-        raise GraphCycleError("cycle through " + ", ".join(r.node for r in on_cycle))
     return _doubling(edges, True)
 
 

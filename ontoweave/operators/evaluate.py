@@ -18,6 +18,28 @@ def _normal(df: DataFrame) -> DataFrame:
     return df.withColumns({f"n_{c}": normalize_term(F.col(c)) for c in PARTS})
 
 
+def _key():
+    """The three normalised parts as one string; never null, so that no plan asks for its nulls apart from its value."""
+    return F.coalesce(F.concat(*(x for c in PARTS for x in (normalize_term(F.col(c)), F.lit("\0")))), F.lit(""))
+
+
+def _keyed(df: DataFrame, *columns: str) -> DataFrame:
+    """entry_id, columns and key of rows without a null part."""
+    return df.where(" and ".join(f"{c} is not null" for c in PARTS)).select("entry_id", *columns, _key().alias("key"))
+
+
+def _by_key(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """entry_id, key (null for rows with a null part), gold and pred (the two sides' rows: idx, p).
+
+    Both sides are dealt by entry once, before the keys are made; no later step of an entry needs another exchange.
+    """
+    sides = [df.select("entry_id", "idx", *PARTS, F.lit(g).alias("g")) for df, g in ((pred, 0), (gold, 1))]
+    rows = sides[0].unionByName(sides[1]).repartition("entry_id")
+    whole = F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull()
+    rows = rows.select("entry_id", F.when(whole, _key()).alias("key"), "g", F.struct("idx", "p").alias("row"))
+    return rows.groupBy("entry_id", "key").agg(*(F.collect_list(F.when(F.col("g") == g, F.col("row"))).alias(n) for n, g in (("pred", 0), ("gold", 1))))
+
+
 def semantic_only(pred: DataFrame) -> DataFrame:
     """Predictions but for types, labels and comments."""
     generic = F.lit(False)
@@ -29,19 +51,18 @@ def semantic_only(pred: DataFrame) -> DataFrame:
 def best_matches(pred: DataFrame, gold: DataFrame, mode: str = "strict", least: float = 0.8) -> DataFrame:
     """entry_id, idx, gold_idx, confidence: of each prediction the best gold triple of its entry (first of equals).
 
-    Strict mode joins on the three normalised parts; relaxed mode compares within an entry, by the mean of three similarities.
+    Strict mode joins on the three normalised parts; relaxed mode compares within an entry, by the mean of three similarities.  Equal
+    gold triples score equally, so the first of them is the one that is found.
     """
-    p, g = _normal(pred), _normal(gold).withColumnRenamed("idx", "gold_idx")
-    raw = gold.groupBy("entry_id", *PARTS).agg(F.min("idx").alias("first_idx"))  # equal gold triples count as the first
-    g = g.join(raw, ["entry_id", *PARTS]).select("entry_id", "gold_idx", "first_idx", *(F.col(f"n_{c}").alias(f"g_{c}") for c in PARTS))
     if mode == "strict":
-        on = (p["entry_id"] == g["entry_id"]) & (F.col("n_s") == F.col("g_s")) & (F.col("n_p") == F.col("g_p")) & (F.col("n_o") == F.col("g_o"))
-        confidence = F.lit(1.0)
-    else:
-        on, confidence = p["entry_id"] == g["entry_id"], sum(similarity(F.col(f"n_{c}"), F.col(f"g_{c}")) for c in PARTS) / 3
-    pairs = p.join(g, on).select(p["entry_id"], "idx", "gold_idx", "first_idx", confidence.alias("confidence")).where(F.col("confidence") >= least)
-    best = pairs.groupBy("entry_id", "idx").agg(F.min(F.struct(-F.col("confidence"), "gold_idx", "first_idx")).alias("b"))
-    return best.select("entry_id", "idx", F.col("b.first_idx").alias("gold_idx"), (-F.col("b.col1")).alias("confidence"))
+        first = _keyed(gold, "idx").groupBy("entry_id", "key").agg(F.min("idx").alias("gold_idx"))
+        found = _keyed(pred, "idx").join(first, ["entry_id", "key"]).groupBy("entry_id", "idx").agg(F.min("gold_idx").alias("gold_idx"))
+        return found.withColumn("confidence", F.lit(1.0))
+    p = _normal(pred.repartition("entry_id")).select("entry_id", "idx", *(f"n_{c}" for c in PARTS))
+    g = _normal(gold.repartition("entry_id")).select("entry_id", F.col("idx").alias("gold_idx"), *(F.col(f"n_{c}").alias(f"g_{c}") for c in PARTS))
+    confidence = sum(similarity(F.col(f"n_{c}"), F.col(f"g_{c}")) for c in PARTS) / 3
+    best = p.join(g, "entry_id").groupBy("entry_id", "idx").agg(F.min(F.struct((-confidence).alias("c"), "gold_idx")).alias("b")).where(F.col("b.c") <= -least)
+    return best.select("entry_id", "idx", F.col("b.gold_idx").alias("gold_idx"), (-F.col("b.c")).alias("confidence"))
 
 
 def _ratio(a, b):
@@ -50,9 +71,17 @@ def _ratio(a, b):
 
 def entry_metrics(pred: DataFrame, gold: DataFrame, mode: str = "strict") -> DataFrame:
     """entry_id, tp, fp, fn, precision, recall, f1 of every entry of either side."""
-    tp = best_matches(pred, gold, mode).groupBy("entry_id").agg(F.countDistinct("gold_idx").alias("tp"))
-    n = pred.groupBy("entry_id").agg(F.count("*").alias("_np")).join(gold.groupBy("entry_id").agg(F.count("*").alias("_ng")), "entry_id", "full")
-    rows = n.join(tp, "entry_id", "left").na.fill(0, ["_np", "_ng", "tp"])
+    if mode == "strict":  # an entry's triples are few: pairs of a prediction and the first gold triple of its key, as an array
+        first = F.when(F.col("key").isNotNull(), F.array_min(F.transform("gold", lambda x: x["idx"])))
+        pairs = F.when(first.isNotNull(), F.transform("pred", lambda x: F.struct(x["idx"].alias("idx"), first.alias("hit"))))
+        rows = _by_key(pred, gold).select("entry_id", F.size("pred").alias("np"), F.size("gold").alias("ng"), pairs.alias("pairs"))
+        rows = rows.groupBy("entry_id").agg(F.sum("np").alias("_np"), F.sum("ng").alias("_ng"), F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+        best = F.filter("pairs", lambda x, i: (i == 0) | (F.get("pairs", i - 1)["idx"] != x["idx"]))
+        rows = rows.select("entry_id", "_np", "_ng", F.size(F.array_distinct(F.transform(best, lambda x: x["hit"]))).cast("long").alias("tp"))
+    else:
+        tp = best_matches(pred, gold, mode).groupBy("entry_id").agg(F.countDistinct("gold_idx").alias("tp"))
+        n = pred.groupBy("entry_id").agg(F.count("*").alias("_np")).join(gold.groupBy("entry_id").agg(F.count("*").alias("_ng")), "entry_id", "full")
+        rows = n.join(tp, "entry_id", "left").na.fill(0, ["_np", "_ng", "tp"])
     rows = rows.select("entry_id", "tp", (F.col("_np") - F.col("tp")).alias("fp"), (F.col("_ng") - F.col("tp")).alias("fn"))
     return _scores(rows)
 
@@ -73,10 +102,9 @@ def micro(metrics: DataFrame) -> DataFrame:
 
 def top_missed(pred: DataFrame, gold: DataFrame, most: int = 10, side: str = "missed") -> DataFrame:
     """predicate, n: the most frequent predicates of gold triples without a strict match (or of predictions without one, side 'wrong')."""
-    rows, other = (gold, pred) if side == "missed" else (pred, gold)
-    keys = ["entry_id", "n_s", "n_p", "n_o"]
-    lost = _normal(rows).join(_normal(other).select(*keys), keys, "left_anti")
-    return lost.groupBy(local_name(F.col("p")).alias("predicate")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "predicate").limit(most)
+    own, other = ("gold", "pred") if side == "missed" else ("pred", "gold")
+    lost = _by_key(pred, gold).where(F.col("key").isNull() | (F.size(other) == 0)).select(F.explode(own).alias("row"))
+    return lost.groupBy(local_name(F.col("row.p")).alias("predicate")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "predicate").limit(most)
 
 
 def fuzzy_match(a: str = "pred", b: str = "gold"):

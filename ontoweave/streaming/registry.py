@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,14 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ontoweave.operators.closure import shared_folder
+
 
 def _drain(stream: DataFrame, mode: str) -> DataFrame:
-    """What a finite stream ends with, as rows of an in-memory sink (results here are aggregates)."""
-    name = f"drained_{uuid.uuid4().hex}"
-    folder = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
-    where = f"{folder.rstrip('/')}/{name}" if folder else tempfile.mkdtemp(prefix="ontoweave-")
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """What a finite stream ends with: the tables of its micro-batches (in complete mode the last one), in the shared folder."""
+    spark = stream.sparkSession
+    where = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}"
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/rows/epoch={epoch}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    last = query.lastProgress["batchId"]
+    rows = f"{where}/rows/epoch={last}" if mode == "complete" else f"{where}/rows"
+    return spark.read.schema(stream.schema).parquet(rows).select(*stream.columns)
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
