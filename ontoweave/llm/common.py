@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -16,7 +17,14 @@ NO_ID = (1 << 63) - 1
 #: Text bytes that one step of a numpy kernel looks at; a single longer text is one step.
 STEP_BYTES = 1 << 20
 
-_written: list[str] = []
+#: Paths that a thread has handed out, so that concurrent runs keep theirs apart.
+_state = threading.local()
+
+
+def _written() -> list[str]:
+    if not hasattr(_state, "written"):
+        _state.written = []
+    return _state.written
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written().append(path)
     return path
 
 
@@ -45,11 +53,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def mark() -> int:
     """How many paths were handed out so far, for since()."""
-    return len(_written)
+    return len(_written())
 
 
 def since(before: int) -> list[str]:
-    return _written[before:]
+    return _written()[before:]
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
