@@ -5,6 +5,8 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ontoweave.llm import common
@@ -27,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of documents that share 0.8 of their five-word shingles."""
+    """One document of each class of documents that share 0.8 of their five-word shingles: the SimHash index, then verification."""
     return keep_one(docs)
 
 
@@ -45,24 +47,32 @@ def _stage(function):
     """Deletes what the stage before wrote on its way, whose result is stored by now."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(spark, _left)
+        left = _left.__dict__.setdefault("paths", [])
+        common.release(spark, left)
         before = common.mark()
         out = function(spark, docs, sf_dir)
-        _left.extend(common.since(before))
+        left.extend(common.since(before))
         return out
 
     return run
 
 
-_left: list[str] = []
+#: What the last stage of a thread wrote on its way.
+_left = threading.local()
 STAGES = [(f.__name__, _stage(f)) for f in (toxicity, lines, near_duplicates, benchmark, packing)]
 
-#: The classifier and the tokenizer have no SQL; tests hold run() against a brute-force version.
+#: The classifier and the tokenizer have no SQL; tests hold run() against a version in plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; each result is stored, and those of earlier stages are deleted at the end."""
+    docs, stored = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        result = stage(spark, docs, sf_dir)
+        before = common.mark()
+        docs = common.written(result, f"stage-{name}")
+        stored += common.since(before)
+    common.release(spark, [*stored[:-1], *_left.paths])
+    _left.paths.clear()
     return docs
