@@ -50,7 +50,7 @@ def _short_repeats(docs: DataFrame, window: int, words: int) -> DataFrame:
     at = F.struct("__ow_id", "__ow_hash", "s").alias("at")
     placed = placed.select("n", F.xxhash64("whole", "run").alias("r1"), F.xxhash64(F.lit("second"), "whole", "run").alias("r2"), at)
     first = placed.groupBy("r1", "r2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("r1", "r2", "first")
-    return placed.join(first, ["r1", "r2"]).where("at > first").select("at.*", "n")
+    return placed.join(written(first, "first-runs"), ["r1", "r2"]).where("at > first").select("at.*", "n")
 
 
 def _positions(docs: DataFrame, window: int) -> DataFrame:

@@ -37,6 +37,10 @@ from .simhash import components
 from .simhash import links as fingerprint_links
 
 SHINGLE = 5
+#: Members of a list that the others are compared with in one round.
+CENTRES = 24
+#: Rounds end where not one comparison in so many makes a link.
+FEW = 20
 
 
 def needed(n):
@@ -131,8 +135,8 @@ def classes(docs: DataFrame) -> DataFrame:
     roots = written(components(links, "star-components").withColumnRenamed("node", "k"), "star-roots")
 
     def several(of: DataFrame, name: str) -> DataFrame:
-        """Lists (h, k, n, root) that hold several components."""
-        parted = written(of.join(roots, "k", "left").select("h", "k", "n", F.coalesce("root", "k").alias("root")), name)
+        """Rows of lists that hold several components, with root."""
+        parted = written(of.join(roots, "k", "left").select(*of.columns, F.coalesce("root", "k").alias("root")), name)
         mixed = written(parted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h"), name)
         return parted.join(mixed, "h")
 
@@ -140,10 +144,27 @@ def classes(docs: DataFrame) -> DataFrame:
     whole = sets.join(left, "k").select("k", "n", F.explode("hashes").alias("h"))
     df = whole.groupBy("h").agg(F.count("*").alias("df"))
     ordered = whole.join(df, "h").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("all"))
-    rarest = F.filter(F.slice("all", F.lit(1), (F.col("n") - needed(F.col("n")) + 1).cast("int")), lambda x: x["df"] > 1)
-    rest = written(several(written(ordered.select("k", "n", F.inline(rarest)).select("h", "k", "n"), "rare-lists"), "rare-parted"), "mixed-lists")
-    other = rest.select("h", F.col("k").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
-    pairs = rest.withColumnRenamed("k", "u").join(other, "h").where("root < other").where(close(F.col("n"), F.col("m"))).select("u", "v").distinct()
+    # most: the largest partner whose set can still be similar if the token at this place is the first that both have
+    placed = F.transform(F.slice("all", F.lit(1), (F.col("n") - needed(F.col("n")) + 1).cast("int")), lambda x, i: F.struct(x["df"].alias("df"), x["h"].alias("h"), F.floor((F.col("n") - i) * 9 / 4 - F.col("n")).alias("most")))
+    rarest = F.filter(placed, lambda x: (x["df"] > 1) & (x["most"] >= needed(F.col("n"))))
+    rare = written(ordered.select("k", "n", F.inline(rarest)).select("h", "k", "n", "most"), "rare-lists")
+    smallest = written(rare.groupBy("h").agg(F.min("n").alias("smallest")), "rare-sizes")
+    rare = written(rare.join(smallest, "h").where("most >= smallest"), "rare-kept")
+    turn = 0
+    while True:  # stars around members of each list, other ones in each round, until they link little; what is left is compared
+        rest = written(several(rare, "rare-parted"), "mixed-lists")
+        pick = lambda seed: F.min_by(F.struct("k", "n", "most", "root"), F.xxhash64("h", "k", F.lit(seed)))
+        centres = written(rest.groupBy("h").agg(F.array_distinct(F.array(*(pick(CENTRES * turn + i) for i in range(CENTRES)))).alias("c")).select("h", F.explode("c").alias("c")), "rare-centres")
+        met = rest.join(centres, "h").where("root <> c.root and n <= c.most and c.n <= most").where(close(F.col("n"), F.col("c.n")))
+        stars = written(met.select(F.least("k", "c.k").alias("u"), F.greatest("k", "c.k").alias("v")).distinct(), "rare-stars")
+        more = written(_linked(stars, sets), "rare-links")
+        if more.count() * FEW < stars.count():
+            links = links.union(more)
+            break
+        turn, links = turn + 1, written(links.union(more), "more-links")
+        roots = written(components(links, "rare-components").withColumnRenamed("node", "k"), "rare-roots")
+    other = rest.select("h", F.col("k").alias("v"), F.col("n").alias("m"), F.col("most").alias("most_v"), F.col("root").alias("other"))
+    pairs = rest.withColumnRenamed("k", "u").join(other, "h").where("root < other and m <= most and n <= most_v").where(close(F.col("n"), F.col("m"))).select("u", "v").distinct()
     links = written(links.union(_linked(written(pairs, "rest-pairs"), sets)), "content-links")
     roots = components(links, "content-components").withColumnRenamed("node", "k")
     labelled = prints.select("doc_id", "t", "k").join(roots, "k", "left").select("doc_id", "t", F.coalesce("root", "k").alias("root"))
