@@ -158,7 +158,7 @@ def classes(docs: DataFrame) -> DataFrame:
         met = rest.join(centres, "h").where("root <> c.root and n <= c.most and c.n <= most").where(close(F.col("n"), F.col("c.n")))
         stars = written(met.select(F.least("k", "c.k").alias("u"), F.greatest("k", "c.k").alias("v")).distinct(), "rare-stars")
         more = written(_linked(stars, sets), "rare-links")
-        if more.count() * FEW < stars.count():
+        if more.count() * FEW <= stars.count():
             links = links.union(more)
             break
         turn, links = turn + 1, written(links.union(more), "more-links")
