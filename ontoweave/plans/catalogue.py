@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoweave.functions import text as X
-from ontoweave.operators import chunking, closure, evaluate, extract, focus, index, lattice, metadata, rdf, render, resolve, search, shacl
+from ontoweave.operators import chunking, closure, evaluate, extract, focus, index, lattice, metadata, ontology, rdf, render, resolve, search, shacl
 from ontoweave.streaming import registry, runs
 
 QUERIES: dict = {}
@@ -256,6 +256,97 @@ def lattice_refines(spark, sf_dir):
     return a.join(b, "l_partkey").select("l_partkey", lattice.bounds_refine().alias("refines"))
 
 
+# ---- ontologies from quads
+
+_CLASSES = "(SELECT 'R' || r_regionkey AS iri, r_name AS label FROM region UNION ALL SELECT 'N' || n_nationkey, n_name FROM nation UNION ALL SELECT 'C' || c_custkey, 'C' || c_custkey FROM customer)"
+_BRANDS = "(SELECT DISTINCT p_brand AS prop, split_part(p_brand, '#', 2) AS label, split_part(p_brand, '#', 2)::INT AS k FROM part)"
+_DOMAIN_PROPS = f"SELECT 'N' || (k % 30) AS class_iri, k % 2 AS scan, prop AS prop_iri, label, CASE WHEN k % 2 = 0 THEN 'R' || (k % 5) ELSE 'http://www.w3.org/2001/XMLSchema#string' END AS range, 0 AS min_card, CASE WHEN k % 5 = 0 THEN 1 END AS max_card, 'domain' AS source FROM {_BRANDS} WHERE k % 3 <> 0 AND k % 30 < 25"
+_RESTRICTED = "SELECT 'N' || n_nationkey, 2, 'urn:in/Region', 'Region', 'R' || n_regionkey, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END, n_nationkey % 4, 'restriction' FROM nation"
+
+
+def _ontology_quads(spark, sf_dir) -> DataFrame:
+    """Regions, nations and customers as classes, brands as properties, a restriction for each nation, a list of nations for each region."""
+    r, n, c = (table(spark, sf_dir, x) for x in ("region", "nation", "customer"))
+    cat = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    fact = lambda p, o, kind="iri": F.struct(F.lit(p).alias("p"), (F.lit(o) if isinstance(o, str) else o).alias("o"), F.lit(kind).alias("o_kind"))
+    facts = lambda df, s, kind, *fs: df.select(s.alias("s"), F.lit(kind).alias("s_kind"), F.inline(F.array_compact(F.array(*fs))))
+    kind, label, above = X.RDF + "type", X.RDFS + "label", X.RDFS + "subClassOf"
+    region, nation = cat("R", F.col("r_regionkey")), cat("N", F.col("n_nationkey"))
+    blank = cat("b", F.col("n_nationkey"))
+    k = F.split("p_brand", "#")[1].cast("int")
+    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
+    below = n.select(F.struct("n_nationkey").alias("at"), "n_regionkey").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("at.n_nationkey")).alias("ns")).select("n_regionkey", F.size("ns").alias("size"), F.posexplode("ns").alias("i", "n"))
+    cell = lambda i: cat("l", F.col("n_regionkey"), "-", i)
+    return (
+        facts(r, region, "iri", fact(kind, X.OWL + "Class"), fact(label, F.col("r_name"), "literal"), fact(X.OWL + "unionOf", cat("l", F.col("r_regionkey"), "-0"), "bnode"), fact(X.OWL + "disjointWith", cat("R", (F.col("r_regionkey") + 1) % 5)))
+        .union(facts(n, nation, "iri", fact(kind, X.OWL + "Class"), fact(label, F.col("n_name"), "literal"), fact(above, cat("R", F.col("n_regionkey"))), fact(above, blank, "bnode")))
+        .union(facts(n, blank, "bnode", fact(kind, X.OWL + "Restriction"), fact(X.OWL + "onProperty", "urn:in/Region"), F.when(F.col("n_nationkey") % 2 == 0, fact(X.OWL + "someValuesFrom", cat("R", F.col("n_regionkey")))).otherwise(fact(X.OWL + "allValuesFrom", cat("R", F.col("n_regionkey")))), fact(X.OWL + "maxCardinality", cat(F.col("n_nationkey") % 4), "literal")))
+        .union(facts(c, cat("C", F.col("c_custkey")), "iri", fact(kind, X.OWL + "Class"), fact(above, cat("N", F.col("c_nationkey"))), fact(above, cat("Nowhere"))))
+        .union(facts(brands, F.col("p_brand"), "iri", F.when(k % 2 == 0, fact(kind, X.OWL + "ObjectProperty")).otherwise(fact(kind, X.OWL + "DatatypeProperty")), F.when(k % 5 == 0, fact(kind, X.OWL + "FunctionalProperty")), F.when(k % 3 != 0, fact(X.RDFS + "domain", cat("N", k % 30))), F.when(k % 2 == 0, fact(X.RDFS + "range", cat("R", k % 5)))))
+        .union(facts(below, cell(F.col("i")), "bnode", fact(X.RDF + "first", cat("N", F.col("n"))), F.when(F.col("i") + 1 < F.col("size"), fact(X.RDF + "rest", cell(F.col("i") + 1), "bnode")).otherwise(fact(X.RDF + "rest", X.RDF + "nil"))))
+    )
+
+
+@query(f"SELECT * FROM {_CLASSES}")
+def ontology_classes(spark, sf_dir):
+    return ontology.build(_ontology_quads(spark, sf_dir)).classes.select("iri", "label")
+
+
+@query("SELECT 'R' || n_regionkey AS iri, 'UnionOf' AS tag, string_agg('N' || n_nationkey, ' ' ORDER BY n_nationkey) AS members FROM nation GROUP BY n_regionkey")
+def ontology_expressions(spark, sf_dir):
+    return ontology.build(_ontology_quads(spark, sf_dir)).classes.select("iri", F.inline("expressions")).select("iri", "tag", F.array_join("classes", " ").alias("members"))
+
+
+@query(f"SELECT child, parent FROM {_E}")
+def ontology_edges(spark, sf_dir):
+    return ontology.build(_ontology_quads(spark, sf_dir)).class_edges
+
+
+@query(f"""WITH p AS ({_DOMAIN_PROPS} UNION ALL {_RESTRICTED})
+    SELECT class_iri, (row_number() OVER (PARTITION BY class_iri ORDER BY scan, prop_iri) - 1)::INT AS ord, prop_iri, label, range, min_card::INT AS min_card, max_card::INT AS max_card, source FROM p""")
+def ontology_properties(spark, sf_dir):
+    props = ontology.build(_ontology_quads(spark, sf_dir)).class_props
+    return props.select("class_iri", F.col("ord").cast("int").alias("ord"), "c.prop_iri", "c.label", F.col("c.ranges")[0].alias("range"), "c.min_card", "c.max_card", "c.source")
+
+
+@query(f"SELECT (row_number() OVER (ORDER BY k % 2, prop) - 1)::INT AS ord, prop AS prop_iri, label FROM {_BRANDS} WHERE k % 3 = 0")
+def ontology_universal(spark, sf_dir):
+    return ontology.build(_ontology_quads(spark, sf_dir)).universal_props.select(F.col("ord").cast("int").alias("ord"), "c.prop_iri", "c.label")
+
+
+@query("WITH d AS (SELECT 'R' || r_regionkey AS a, 'R' || ((r_regionkey + 1) % 5) AS b FROM region) SELECT a, b FROM d UNION SELECT b, a FROM d")
+def ontology_disjoint(spark, sf_dir):
+    return ontology.build(_ontology_quads(spark, sf_dir)).disjoint
+
+
+@query(f"SELECT (SELECT count(*) FROM {_CLASSES}) AS classes, (SELECT count(*) FROM ({_DOMAIN_PROPS})) AS domain_properties, (SELECT count(*) FROM {_BRANDS} WHERE k % 3 = 0) AS universal_properties")
+def ontology_inspect(spark, sf_dir):
+    return ontology.inspect(ontology.build(_ontology_quads(spark, sf_dir)))
+
+
+@query(_K + ", f AS (SELECT iri FROM v WHERE iri IN ('N3', 'N7', 'C11')), g AS (SELECT 'R' || ((n_regionkey + 1) % 5) AS iri FROM nation WHERE 'N' || n_nationkey IN (SELECT iri FROM f)), h AS (SELECT iri FROM f UNION SELECT iri FROM g) SELECT iri FROM h UNION SELECT parent FROM k WHERE child IN (SELECT iri FROM h)")
+def dependency_context(spark, sf_dir):
+    classes, edges = _graph(spark, sf_dir)
+    ranges = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("class_iri"), F.concat(F.lit("R"), ((F.col("n_regionkey") + 1) % 5).cast("string")).alias("range"))
+    return focus.dependency_iris(classes.where(F.col("iri").isin("N3", "N7", "C11")), closure.closure(edges), ranges, classes)
+
+
+@query("""WITH e AS (SELECT 'chunk_' || (n_nationkey % 3) || '_b' || (n_nationkey // 3) AS iri, true AS blank, lower(substr(n_name, 1, 1)) AS k FROM nation UNION ALL SELECT 'urn:r' || r_regionkey, false, lower(substr(r_name, 1, 1)) FROM region),
+    m AS (SELECT k, arg_min((blank, iri), (blank, iri)) AS best FROM e GROUP BY k) SELECT e.iri, best[2] AS canonical, CASE WHEN best[1] THEN 'bnode' ELSE 'iri' END AS canonical_kind FROM e JOIN m USING (k) WHERE e.iri <> best[2]""")
+def entity_resolution_blank(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    row = lambda df, g, s, kind, name: df.select(g.alias("graph_id"), s.alias("s"), F.lit(kind).alias("s_kind"), F.lit(X.RDFS + "label").alias("p"), F.substring(name, 1, 1).alias("o"), F.lit("literal").alias("o_kind"))
+    quads = row(n, (F.col("n_nationkey") % 3).cast("string"), F.concat(F.lit("b"), F.floor(F.col("n_nationkey") / 3).cast("string")), "bnode", "n_name").unionByName(row(r, F.lit("0"), F.concat(F.lit("urn:r"), "r_regionkey"), "iri", "r_name"))
+    return resolve.resolution_map(resolve.labelled_entities(resolve.skolemize(quads)))
+
+
+@query("""SELECT l_orderkey AS entry_id, 0::BIGINT AS tp, 0::BIGINT AS fp, count(*) AS fn, 0.0::DOUBLE AS precision, 0.0::DOUBLE AS recall, 0.0::DOUBLE AS f1, any_value(o_orderstatus) AS error
+    FROM lineitem JOIN (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey GROUP BY l_orderkey""")
+def eval_failed(spark, sf_dir):
+    errors = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("entry_id"), F.col("o_orderstatus").alias("error"))
+    return evaluate.failed_entry(_gold_pred(spark, sf_dir)[0], errors)
+
+
 # ---- the index
 
 def _half(spark, sf_dir, which: int) -> DataFrame:
