@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontoweave.errors import EvaluationError
 from ontoweave.functions.text import local_name, normalize_term, similarity
 
 PARTS = ["s", "p", "o"]
@@ -133,3 +134,25 @@ def mismatch_reasons(pred: DataFrame, gold: DataFrame) -> DataFrame:
 def failed_entry(gold: DataFrame, errors: DataFrame) -> DataFrame:
     """Zero rows (all gold triples missed) with the error text, for entries whose extraction failed."""
     return gold.groupBy("entry_id").agg(F.count("*").alias("fn")).join(errors, "entry_id").select("entry_id", F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "fn", F.lit(0.0).alias("precision"), F.lit(0.0).alias("recall"), F.lit(0.0).alias("f1"), "error")
+
+
+def markdown_table(rows: DataFrame, digits: int = 3, most: int = 1000) -> str:
+    """A small table (aggregates; more than ``most`` rows are an error) as Markdown."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise EvaluationError(f"a report has at most {most} rows")
+    show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = [rows.columns, ["-"] * len(rows.columns), *([show(v) for v in r] for r in found)]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
+def report(metrics: DataFrame, missed: DataFrame, wrong: DataFrame) -> str:
+    """Scores over all entries, the worst entries, and the predicates that are missed and wrong most often, as Markdown."""
+    worst = metrics.orderBy("f1", "entry_id").limit(10)
+    parts = [("Scores", macro(metrics)), ("Lowest entries", worst), ("Missed predicates", missed), ("Wrong predicates", wrong)]
+    return "\n\n".join(f"## {title}\n\n{markdown_table(rows)}" for title, rows in parts) + "\n"
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Results as JSON lines."""
+    rows.write.mode("overwrite").json(path)

@@ -7,6 +7,7 @@ is one, and Phrases is a deterministic one.  Repartition chunks to bound how man
 from __future__ import annotations
 
 import re
+import threading
 import time
 from dataclasses import dataclass
 
@@ -48,10 +49,34 @@ class Phrases:
         return [(a, ta, p, b, tb) for (a, ta), (b, tb) in zip(entities, entities[1:], strict=False)]
 
 
-def extract(chunks: DataFrame, extractor=None, classes: list[str] | None = None, properties: list[str] | None = None, retries: int = 2, pause: float = 2.0) -> DataFrame:
-    """TRIPLE rows of chunks (run_id, chunk_idx, text) in two stages: entities, then triples among them.
+def _within(seconds: float | None, call, *args):
+    """call(*args), or a TimeoutError after so many seconds (its thread is left to end by itself)."""
+    if seconds is None:
+        return call(*args)
+    out: list = []
 
-    A chunk that fails after its retries gives one row with the error.  Rows outside the vocabulary are dropped.
+    def run():
+        try:
+            out.append((call(*args), None))
+        except Exception as e:  # noqa: BLE001  raised below
+            out.append((None, e))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not out:
+        raise TimeoutError(f"no answer within {seconds} s")
+    if out[0][1] is not None:
+        raise out[0][1]
+    return out[0][0]
+
+
+def extract(chunks: DataFrame, extractor=None, classes: list[str] | None = None, properties: list[str] | None = None, retries: int = 2, pause: float = 2.0, seconds: float | None = None, stages: int = 2) -> DataFrame:
+    """TRIPLE rows of chunks (run_id, chunk_idx, text) in two stages: entities, then triples among them and of their types only.
+
+    With one stage the extractor is asked for triples without a list of entities, and any names of the classes count.  A stage that
+    takes over ``seconds`` fails.  A chunk that fails after its retries gives one row with the error.  Rows outside the vocabulary
+    are dropped.
     """
     extractor, classes, properties = extractor or Phrases(), list(classes or []), list(properties or [])
     allowed = {*properties, *CORE_ANNOTATIONS}
@@ -59,11 +84,12 @@ def extract(chunks: DataFrame, extractor=None, classes: list[str] | None = None,
     def one(text):
         for turn in range(retries + 1):
             try:
-                entities = extractor.entities(text, classes)
+                entities = _within(seconds, extractor.entities, text, classes) if stages == 2 else []
                 entities = [e for e in entities if not classes or e[1] in classes]
-                names = {e[0] for e in entities}
-                found = extractor.triples(text, entities, properties)
-                return [t for t in found if t[0] in names and (t[4] is None or t[3] in names) and (not properties or t[2] in allowed)], None
+                names, kinds = {e[0] for e in entities}, {e[1] for e in entities} if stages == 2 else set(classes)
+                found = _within(seconds, extractor.triples, text, entities, properties)
+                named = lambda name, kind: (stages == 1 or name in names) and (kind in kinds or not kinds)
+                return [t for t in found if named(t[0], t[1]) and (t[4] is None or named(t[3], t[4])) and (not properties or t[2] in allowed)], None
             except Exception as e:  # noqa: BLE001  an extractor's failures are data
                 if turn == retries:
                     return [], f"{type(e).__name__}: {e}"
@@ -82,6 +108,15 @@ def extract(chunks: DataFrame, extractor=None, classes: list[str] | None = None,
     return chunks.select(F.col("run_id").cast("string").alias("run_id"), F.col("chunk_idx").cast("int").alias("chunk_idx"), "text").mapInPandas(run, TRIPLE)
 
 
+def entity_json(triples: DataFrame) -> DataFrame:
+    """run_id, chunk_idx, json: the answer of a chunk as a list of entities with their properties, by name."""
+    value = F.when(F.col("object.type").isNull(), F.to_json(F.struct(F.col("object.value").alias("v")))).otherwise(F.to_json(F.struct(F.struct(F.col("object.value").alias("@id")).alias("v"))))
+    prop = F.struct("predicate", F.get_json_object(value, "$.v").alias("object"), F.col("object.type").isNotNull().alias("reference"))
+    entities = triples.where("error is null").groupBy("run_id", "chunk_idx", "subject").agg(F.min("subject_type").alias("kind"), F.array_sort(F.collect_list(F.struct("ord", prop.alias("p")))).alias("ps"))
+    entity = F.struct(F.col("subject").alias("@id"), F.col("kind").alias("@type"), F.transform("ps", lambda x: x["p"]).alias("properties"))
+    return entities.groupBy("run_id", "chunk_idx").agg(F.to_json(F.struct(F.array_sort(F.collect_list(entity)).alias("entities"))).alias("json"))
+
+
 def within_vocabulary(triples: DataFrame, classes: DataFrame, properties: DataFrame) -> DataFrame:
     """Triples whose types and predicates are in the vocabulary (tables of iri); core annotations always are."""
     if not classes.limit(1).count():

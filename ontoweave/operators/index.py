@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoweave.functions.text import estimate_tokens
@@ -39,10 +39,37 @@ def combine(*indexes: DataFrame) -> DataFrame:
     return rows.groupBy("iri").agg(*(merged[c].alias(c) for c in rows.columns if c in merged)).select(*rows.columns)
 
 
+def from_units(spark: SparkSession, units: list[tuple], schema: str) -> DataFrame:
+    """An index of rows (the first column is the IRI); units of one IRI are merged.  No units make an empty index."""
+    return combine(spark.createDataFrame(units, schema))
+
+
 def get(index: DataFrame, iri: str) -> DataFrame:
     return index.where(F.col("iri") == iri)
 
 
+def has(index: DataFrame, iri: str) -> bool:
+    return get(index, iri).limit(1).count() > 0
+
+
+def keys(index: DataFrame) -> DataFrame:
+    """IRIs in order, which is the order of units and of properties."""
+    return index.select("iri").orderBy("iri")
+
+
+def size(index: DataFrame) -> int:
+    return index.count()
+
+
+def where(index: DataFrame, condition: Column) -> DataFrame:
+    return index.where(condition)
+
+
+def with_columns(index: DataFrame, **columns: Column) -> DataFrame:
+    """The index with columns of each unit replaced; its key stays."""
+    return index.withColumns({k: v for k, v in columns.items() if k != "iri"})
+
+
 def stats(index: DataFrame, depths: DataFrame | None = None) -> DataFrame:
     """total_units, total_properties, total_inherited, avg_properties, and max_depth (longest path, in classes) given depths."""
     n, k = F.size("properties"), F.size("inherited")

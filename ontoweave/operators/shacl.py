@@ -140,3 +140,12 @@ def constraint_metrics(violations: DataFrame, total_triples: int) -> DataFrame:
     out = violations.withColumn("_c", category).agg(F.count("*").alias("total_violations"), severe.alias("_severe"), *(F.count_if(F.col("_c") == c).alias(n) for c, n in (("Cardinality", "cardinality"), ("DomainRange", "domain_range"), ("Disjointness", "disjointness"), ("Datatype", "datatype"), ("Other", "other"))))
     valid = F.greatest(F.lit(0), F.lit(total_triples) - F.col("_severe"))
     return out.withColumns({"valid_triples": valid, "constraint_rate": F.lit(1.0) if not total_triples else valid / total_triples}).drop("_severe")
+
+
+CATEGORIES = ["cardinality", "domain_range", "disjointness", "datatype", "other"]
+
+
+def constraint_totals(metrics: DataFrame) -> DataFrame:
+    """Sums of violations, valid triples and categories over the entries' metrics, and the mean of their rates (1 of no entries)."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_violations", "valid_triples", *CATEGORIES)]
+    return metrics.agg(*sums, F.coalesce(F.avg("constraint_rate"), F.lit(1.0)).alias("constraint_rate"))

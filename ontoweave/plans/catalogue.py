@@ -83,6 +83,11 @@ def token_stats_by_lang(spark, sf_dir):
     return out.withColumn("cost", F.col("total_tokens") / 1000 * 0.03)
 
 
+@query("SELECT sum(t)::BIGINT AS total_tokens, avg(t) AS avg_tokens, max(t)::BIGINT AS max_tokens, sum(t) / 1000 * 0.03 AS cost FROM (SELECT ceil(length(text) / 4.0)::BIGINT AS t FROM documents)")
+def token_stats(spark, sf_dir):
+    return index.token_stats(table(spark, sf_dir, "documents").select(F.col("text").alias("definition")))
+
+
 # ---- labels and IRIs
 
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
