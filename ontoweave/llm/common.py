@@ -68,6 +68,15 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: What a worker remembers for one operator, and lets go when it goes on to another.
+remembered: list[dict] = []
+
+
+def forget() -> None:
+    for x in remembered:
+        x.clear()
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 

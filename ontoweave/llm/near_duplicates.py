@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, run_hashes, steps, utf8, word_hashes, word_spans, written
+from .common import LOWER, forget, run_hashes, steps, utf8, word_hashes, word_spans, written
 from .simhash import components
 from .simhash import links as fingerprint_links
 
@@ -70,6 +70,7 @@ def _fingerprint(hashes: np.ndarray) -> int:
 
 def _hashed(whole: bool):
     def run(batches):
+        forget()
         for batch in batches:
             offsets, data = utf8(batch.column("text"))
             for i, j in steps(offsets):

@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from .common import steps, utf8
+from .common import remembered, steps, utf8
 
 #: Pieces and words that a worker remembers; beyond that those that only one step had are forgotten, which changes no id.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Text bytes that are cut and looked up at once; a single longer text is one step.
 STEP = 4 << 20
 #: The word pattern of byte-level BPE tokenizers, and the same for texts without the characters of _ODD, which is faster.
@@ -30,6 +30,7 @@ _PLAIN_WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|
 _ODD = re.compile("[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\x00-\u024f]")
 
 _encoders: dict[str, "Encoder"] = {}
+remembered.append(_encoders)
 
 
 def encoder(path: str) -> "Encoder":

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_column, steps, utf8
+from .common import crc32_column, forget, steps, utf8
 
 BUCKETS, DIM, SIZES, WINDOW = 1 << 18, 8, (3, 4, 5, 6), 4
 SEPARATOR = 32
@@ -174,6 +174,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.7,
     docs = docs.select(*names)
 
     def run(batches):
+        forget()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text")).cast(pa.string())
             offsets, _ = utf8(column)
