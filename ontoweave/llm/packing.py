@@ -3,11 +3,12 @@
 Documents are cut into full sequences and a rest shorter than one.  A rest r over half a sequence fits nothing of its kind and
 leaves a gap g beside it, so of these a share g / size is cut further, into pieces of g, which fill the gaps of the others even if
 all documents are equally long.  That makes less than one piece more for each document.
-The histogram of lengths (at most ``size`` bins, whatever the corpus) is a cutting-stock problem: a linear program over patterns (multisets of lengths that fit one
-sequence), whose columns are priced by a knapsack dynamic program.  It starts from a greedy basis, since the columns that
-pricing adds one at a time would take thousands of rounds from patterns of one length.  Rounded-down patterns take ranked
-documents of each length; the few left over are packed longest first.  Only the histogram reaches the driver, and the tasks get
-the pattern table, which the number of lengths bounds.  Every piece is placed by a pattern.
+
+The histogram of lengths (at most ``size`` bins, whatever the corpus) is a cutting-stock problem: a linear program over patterns
+(multisets of lengths that fit one sequence), whose columns are priced by a knapsack dynamic program.  It starts from a greedy
+basis, since the columns that pricing adds one at a time would take thousands of rounds from patterns of one length.
+Rounded-down patterns take ranked documents of each length; the few left over are packed longest first.  Only the histogram reaches
+the driver, and the tasks get the pattern table, which the number of lengths bounds.  Every piece is placed by a pattern.
 
 All pieces are hashed in the one pass that encodes the text.  Ranks within a length are ranks within an input partition plus
 the counts of the partitions before, so a length that a third of all documents share is not one task; these counts are
