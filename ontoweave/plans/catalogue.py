@@ -308,10 +308,10 @@ def ontology_edges(spark, sf_dir):
 
 
 @query(f"""WITH p AS ({_DOMAIN_PROPS} UNION ALL {_RESTRICTED})
-    SELECT class_iri, (row_number() OVER (PARTITION BY class_iri ORDER BY scan, prop_iri) - 1)::INT AS ord, prop_iri, label, range, min_card::INT AS min_card, max_card::INT AS max_card, source FROM p""")
+    SELECT class_iri, (row_number() OVER (PARTITION BY class_iri ORDER BY scan, prop_iri) - 1)::INT AS ord, prop_iri, label, range, min_card::INT AS min_card, coalesce(max_card, -1)::INT AS max_card, source FROM p""")
 def ontology_properties(spark, sf_dir):
     props = ontology.build(_ontology_quads(spark, sf_dir)).class_props
-    return props.select("class_iri", F.col("ord").cast("int").alias("ord"), "c.prop_iri", "c.label", F.col("c.ranges")[0].alias("range"), "c.min_card", "c.max_card", "c.source")
+    return props.select("class_iri", F.col("ord").cast("int").alias("ord"), "c.prop_iri", "c.label", F.col("c.ranges")[0].alias("range"), "c.min_card", F.coalesce("c.max_card", F.lit(-1)).alias("max_card"), "c.source")
 
 
 @query(f"SELECT (row_number() OVER (ORDER BY k % 2, prop) - 1)::INT AS ord, prop AS prop_iri, label FROM {_BRANDS} WHERE k % 3 = 0")
