@@ -1,7 +1,8 @@
 """Extraction of triples from chunks: a pluggable extractor run over partitions, and the vocabulary it must keep to.
 
 An extractor is any object with ``entities(text, classes)`` and ``triples(text, entities, properties)``; a model behind a network
-is one, and Phrases is a deterministic one.  Repartition chunks to bound how many run at once.
+is one, and Phrases is a deterministic one.  Repartition chunks to bound how many run at once.  Phrases without a time limit are
+built-in functions; what a caller plugs in runs in Python.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ import re
 import threading
 import time
 from dataclasses import dataclass
+from functools import cache
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoweave.errors import EmptyVocabularyError, ExtractionError
@@ -30,6 +32,17 @@ CORE_ANNOTATIONS = [
     "http://www.w3.org/2004/02/skos/core#altLabel",
 ]
 TRIPLE = "run_id string, chunk_idx int, ord int, subject string, subject_type string, predicate string, object struct<value:string,type:string>, error string"
+_OBJECT = pa.struct([("value", pa.string()), ("type", pa.string())])
+_ARROW = pa.schema([("run_id", pa.string()), ("chunk_idx", pa.int32()), ("ord", pa.int32()), ("subject", pa.string()), ("subject_type", pa.string()), ("predicate", pa.string()), ("object", _OBJECT), ("error", pa.string())])
+
+
+@cache
+def _java_word() -> str:
+    r"""Python's \w as a Java class: letters, numbers and _, and what this Python's Unicode has beyond the tables of an older Java."""
+    first, gap = 0x870, (0xD800, 0xE000)  # below it, the two agree since Java 17
+    every = "".join([*map(chr, range(first, gap[0])), " " * (gap[1] - gap[0]), *map(chr, range(gap[1], 0x110000))])
+    spans = [(m.start() + first, m.end() - 1 + first) for m in re.finditer(r"\w+", every)]
+    return rf"[\p{{L}}\p{{N}}_[\x{{{first:X}}}-\x{{10FFFF}}&&[{''.join(rf'\x{{{a:X}}}-\x{{{b:X}}}' for a, b in spans)}]]]"
 
 
 @dataclass(frozen=True)
@@ -48,6 +61,11 @@ class Phrases:
         p = self.predicate if self.predicate in properties or not properties else properties[0]
         return [(a, ta, p, b, tb) for (a, ta), (b, tb) in zip(entities, entities[1:], strict=False)]
 
+    def names(self, text: Column) -> Column:
+        """The names of entities() as a column.  Possessive: a word never ends inside a word, and long runs of words need no stack."""
+        word = _java_word()
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"[A-ZÀ-ÖØ-Þ]{word}++(?: [A-ZÀ-ÖØ-Þ]{word}++)*+"), F.lit(0)))
+
 
 def _within(seconds: float | None, call, *args):
     """call(*args), or a TimeoutError after so many seconds (its thread is left to end by itself)."""
@@ -98,14 +116,32 @@ def extract(chunks: DataFrame, extractor=None, classes: list[str] | None = None,
     def run(batches):
         for batch in batches:
             rows = []
-            for run_id, idx, text in zip(batch["run_id"], batch["chunk_idx"], batch["text"], strict=True):
+            for run_id, idx, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 found, error = one(text or "")
-                rows += [(run_id, idx, k, s, st, p, {"value": o, "type": ot}, None) for k, (s, st, p, o, ot) in enumerate(found)]
+                rows += [(run_id, idx, k, s, st, p, (("value", o), ("type", ot)), None) for k, (s, st, p, o, ot) in enumerate(found)]
                 if error:
                     rows.append((run_id, idx, -1, None, None, None, None, error))
-            yield pd.DataFrame(rows, columns=["run_id", "chunk_idx", "ord", "subject", "subject_type", "predicate", "object", "error"])
-
-    return chunks.select(F.col("run_id").cast("string").alias("run_id"), F.col("chunk_idx").cast("int").alias("chunk_idx"), "text").mapInPandas(run, TRIPLE)
+            columns = zip(*rows, strict=True) if rows else [()] * len(_ARROW)
+            columns = [[dict(x) if x else None for x in c] if f.name == "object" else list(c) for c, f in zip(columns, _ARROW, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+
+    chunks = chunks.select(F.col("run_id").cast("string").alias("run_id"), F.col("chunk_idx").cast("int").alias("chunk_idx"), "text")
+    if type(extractor) is Phrases and seconds is None:
+        return _phrases(chunks, extractor, classes, properties, stages)
+    return chunks.mapInArrow(run, TRIPLE)
+
+
+def _phrases(chunks: DataFrame, extractor: Phrases, classes: list[str], properties: list[str], stages: int) -> DataFrame:
+    """extract() by built-in functions."""
+    kind = F.lit(extractor.entity_class if extractor.entity_class in classes or not classes else classes[0])
+    predicate = F.lit(extractor.predicate if extractor.predicate in properties or not properties else properties[0])
+    names = chunks.select("run_id", "chunk_idx", extractor.names(F.coalesce("text", F.lit(""))).alias("_n"))
+    most = F.greatest(F.size("_n") - 1, F.lit(0)) if stages == 2 else F.lit(0)
+    pairs = F.arrays_zip(F.slice("_n", 1, most).alias("a"), F.slice("_n", 2, most).alias("b"))
+    # outer, since Spark would put a filter on the size below the names and find them once more for it
+    rows = names.select("run_id", "chunk_idx", F.posexplode_outer(pairs).alias("ord", "_p")).where("_p is not null")
+    of = F.struct(F.col("_p.b").alias("value"), kind.alias("type"))
+    return rows.select("run_id", "chunk_idx", "ord", F.col("_p.a").alias("subject"), kind.alias("subject_type"), predicate.alias("predicate"), of.alias("object"), F.lit(None).cast("string").alias("error"))
 
 
 def entity_json(triples: DataFrame) -> DataFrame:

@@ -54,13 +54,17 @@ def triples_to_quads(triples: DataFrame, datatypes: DataFrame | None = None, bas
     def fact(s, p, o, kind):
         return F.struct(s.alias("s"), p.alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
 
-    s, value, kind = generate_iri(F.col("subject"), base), F.col("object.value"), F.col("object.type")
-    o = generate_iri(value, base)
+    value, kind = F.col("object.value"), F.col("object.type")
+    # IRIs are made once, below the five facts that have them
+    iris = [generate_iri(F.col("subject"), base).alias("_s"), F.when(kind.isNotNull(), generate_iri(value, base)).alias("_o")]
+    triples = triples.select("graph_id", "subject", "subject_type", "predicate", "object", *iris)
+    s, o = F.col("_s"), F.col("_o")
     is_type, is_label = F.lit(RDF + "type"), F.lit(RDFS + "label")
     own = [fact(s, is_type, F.col("subject_type"), "iri"), fact(s, is_label, F.col("subject"), "literal")]
     to_ref = F.array(*own, fact(s, F.col("predicate"), o, "iri"), fact(o, is_type, kind, "iri"), fact(o, is_label, value, "literal"))
     to_literal = F.array(*own, fact(s, F.col("predicate"), trim(value), "literal"))
-    return _finish(triples.select("graph_id", F.inline(F.when(kind.isNull(), to_literal).otherwise(to_ref))), datatypes)
+    # outer, though no array is empty, since Spark would put a filter on its size below and build it once more
+    return _finish(triples.select("graph_id", F.inline_outer(F.when(kind.isNull(), to_literal).otherwise(to_ref))), datatypes)
 
 
 def _finish(facts: DataFrame, datatypes: DataFrame | None) -> DataFrame:
@@ -70,8 +74,8 @@ def _finish(facts: DataFrame, datatypes: DataFrame | None) -> DataFrame:
     else:
         facts = facts.withColumn("datatype", F.lit(None).cast("string"))
     kind = F.when(literal, F.coalesce("datatype", F.lit(XSD + "string")))
-    s = F.regexp_replace("s", "^_:", "")
-    o = F.when(F.col("o_kind") == "bnode", F.regexp_replace("o", "^_:", "")).otherwise(F.col("o"))
+    name = lambda c: F.when(c.startswith("_:"), F.substring(c, 3, 1 << 30)).otherwise(c)
+    s, o = name(F.col("s")), F.when(F.col("o_kind") == "bnode", name(F.col("o"))).otherwise(F.col("o"))
     return facts.select("graph_id", s.alias("s"), _kind(F.col("s")).alias("s_kind"), "p", o.alias("o"), "o_kind", kind.alias("o_datatype"), F.lit(None).cast("string").alias("o_lang")).dropDuplicates()
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoweave.functions.text import RDFS, normalize_label
+from ontoweave.operators.closure import cut
 
 
 def skolemize(quads: DataFrame) -> DataFrame:
@@ -41,9 +42,12 @@ def rewrite(quads: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def merge_graphs(quads: DataFrame) -> DataFrame:
-    """One resolved graph from the quads of many."""
-    apart = skolemize(quads)
-    return rewrite(apart, resolution_map(labelled_entities(apart)))
+    """One resolved graph from the quads of many.
+
+    Once blank nodes have their names, what many graphs say is one quad.  Quads and map are written, as both are read twice.
+    """
+    apart = cut(skolemize(quads).drop("graph_id").dropDuplicates())
+    return rewrite(apart, cut(resolution_map(labelled_entities(apart).distinct())))
 
 
 def entities_of_triples(triples: DataFrame, base: str = "http://example.org/") -> DataFrame:

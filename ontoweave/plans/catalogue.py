@@ -600,5 +600,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to resolved quads: sentence windows, a deterministic extractor, quads, resolution; quads by predicate."""
     chunks = chunking.chunk_sentences(table(spark, sf_dir, "documents"), chunking.PIPELINE)
     triples = extract.extract(chunks.select(F.col("doc_id").alias("run_id"), F.col("idx").alias("chunk_idx"), "text")).where("error is null")
-    quads = rdf.triples_to_quads(triples.withColumn("graph_id", F.concat_ws("_", "run_id", F.col("chunk_idx").cast("string"))))
-    return resolve.merge_graphs(quads).groupBy("p").agg(F.count("*").alias("n"))
+    # the extractor names no blank nodes, so that graphs need not be told apart: what many chunks say is one triple
+    said = triples.select("subject", "subject_type", "predicate", "object").distinct().withColumn("graph_id", F.lit("all"))
+    return resolve.merge_graphs(rdf.triples_to_quads(said)).groupBy("p").agg(F.count("*").alias("n"))
