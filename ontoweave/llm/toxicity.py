@@ -72,6 +72,32 @@ def features(texts: list[str]):
     return np.concatenate(where), np.concatenate(out), np.repeat(np.arange(len(texts)), bags)
 
 
+def _bags(texts: list[str]):
+    """A function of a text's number: (cuts of its stretches, their distinct buckets, how often each occurs).
+
+    All texts' numbers are in three long arrays, which go back to the system as a whole; in many small ones, a driver would keep their
+    memory after training.
+    """
+    chars = [len(t.lower()) + 2 for t in texts]  # at least the n-grams of one size; what is not written takes no memory
+    ends, used = np.zeros((len(texts) + 1, 2), np.int64), np.zeros(2, np.int64)
+    held = [np.empty(sum(chars) + len(texts), np.int32), *(np.empty(len(SIZES) * sum(chars), kind) for kind in (np.int32, np.float32))]
+    for d, text in enumerate(texts):
+        bag, bucket, of = features([text])
+        key, n = np.unique(bag * BUCKETS + bucket, return_counts=True)
+        got = np.searchsorted(key // BUCKETS, np.arange(len(of) + 1)), key % BUCKETS, n
+        for k, x in enumerate(got):
+            at = int(used[min(k, 1)])
+            held[k][at : at + len(x)] = x
+        used += len(got[0]), len(got[1])
+        ends[d + 1] = used
+
+    def of_text(d: int):
+        (c, i), (e, j) = ends[d], ends[d + 1]
+        return held[0][c:e].astype(np.int64), held[1][i:j], held[2][i:j]
+
+    return of_text
+
+
 class Model:
     """Buckets' embeddings, softmax weights and bias."""
 
@@ -84,18 +110,13 @@ class Model:
     def fit(self, texts: list[str], labels: list[int], whole: int = 3, epochs: int = 6, rate: float = 0.3, seed: int = 7) -> "Model":
         """Trains for ``whole`` epochs on whole documents, then for ``epochs`` on their worst stretches."""
         rng = np.random.default_rng(seed)
-        docs = []
-        for text in texts:
-            bag, bucket, of = features([text])
-            key, n = np.unique(bag * BUCKETS + bucket, return_counts=True)
-            bag = key // BUCKETS
-            docs.append((np.searchsorted(bag, np.arange(len(of) + 1)), (key % BUCKETS).astype(np.int32), n.astype(np.float32)))
+        docs = _bags(texts)
         self.weight = len(labels) / (2 * np.maximum(np.bincount(labels, minlength=2), 1))
         self.squares = np.full(BUCKETS, 1e-3, np.float32)
         self.w_squares, self.b_squares = np.full((DIM, 2), 1e-2, np.float32), np.full(2, 1e-2, np.float32)
         for epoch in range(whole + epochs):
-            for d in rng.permutation(len(docs)):
-                cuts, bucket, n = docs[d]
+            for d in rng.permutation(len(texts)):
+                cuts, bucket, n = docs(d)
                 if epoch < whole:
                     bucket = np.unique(bucket)
                     self._learn(bucket, np.ones(len(bucket), np.float32), labels[d], rate)
